@@ -58,6 +58,38 @@ def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
+def labelled_sample(labels: DataFrame, per_label: int, max_labels: int = 64) -> dict:
+    """Id to label of at most ``per_label`` rows of each of the ``max_labels`` most frequent labels of ``id, label``.
+
+    Rows with the smallest hash of their id are taken. Counts come first; they give each label a hash
+    bound that about twice the wanted rows pass, so no label is gathered or ranked as a whole. Null
+    ids and labels are left out; an id with several labels has the largest.
+    """
+    rows = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
+    if not counts:
+        return {}
+    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, (2 * per_label + 50) / n))) for k, n in counts.items()], F.lit(0.0))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    passed = rows.withColumn("draw", draw).where(F.col("draw") < share * (1 << 30)).select("id", "label", "draw").distinct()
+    got = passed.orderBy("draw", "id", "label").limit(4 * len(counts) * (per_label + 50)).collect()
+    taken: dict = {}
+    used = dict.fromkeys(counts, 0)
+    for i, label, _ in got:
+        if used[label] < per_label:
+            used[label] += 1
+            taken[i] = max(label, taken.get(i, label))
+    return taken
+
+
+def texts_of(docs: DataFrame, ids: list, doc_id: str = "doc_id", text: str = "text") -> list[tuple]:
+    """Id and text of the documents with the given ids (a bounded list), ordered by id and text, one for each id."""
+    if not ids:
+        return []
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.col("i").isin(ids) & F.col("t").isNotNull())
+    return [(r["i"], r["t"]) for r in rows.groupBy("i").agg(F.min("t").alias("t")).orderBy("i").collect()]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -83,7 +115,7 @@ def shingle_hashes(words: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray
     a = np.array([digest(w) for w in words], dtype=np.uint64)
     n = len(a)
     k = min(width, n)
-    h = np.full(n - k + 1, np.uint64(k) * _MIX, dtype=np.uint64)
+    h = np.full(n - k + 1, k, dtype=np.uint64)
     for i in range(k):
         h = (h ^ a[i : n - k + 1 + i]) * _MIX
         h ^= h >> _S29
