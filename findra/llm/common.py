@@ -54,6 +54,11 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def whole_id(name: str, known: str = "known") -> tuple[Column, Column]:
+    """An integer column as itself with 0 for null, and whether it was not null: pandas keeps whole numbers exact only without nulls."""
+    return F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name), F.col(name).isNotNull().alias(known)
+
+
 def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 

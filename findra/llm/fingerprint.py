@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, shingle_hashes, table, words_of
+from .common import range_bounds, range_bucket, shingle_hashes, table, whole_id, words_of
 
 #: Share of the hash range that is kept.
 FRACTION = 0.25
@@ -129,9 +129,8 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         before = None
         for pdf in batches:
             rows = []
-            for i in range(len(pdf)):
-                bucket, key, t = int(pdf["bucket"].iat[i]), pdf["doc_id"].iat[i], pdf["text"].iat[i]
-                now = (bucket, None if pd.isna(key) else int(key), t, sketch(t))
+            for bucket, key, known, t in zip(pdf["bucket"].tolist(), pdf["doc_id"].tolist(), pdf["known"].tolist(), pdf["text"].tolist(), strict=True):
+                now = (bucket, key if known else None, t, sketch(t))
                 if before is not None and before[0] == bucket:
                     rows.append(_compare(*before[1:], *now[2:]))
                 before = now
@@ -141,8 +140,8 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         least: dict[int, tuple] = {}
         most: dict[int, tuple] = {}
         for pdf in batches:
-            for bucket, key, t in zip(pdf["bucket"], pdf["doc_id"], pdf["text"], strict=True):
-                at = (not pd.isna(key), 0 if pd.isna(key) else int(key), t.encode("utf-8", "surrogatepass"))
+            for bucket, key, known, t in zip(pdf["bucket"].tolist(), pdf["doc_id"].tolist(), pdf["known"].tolist(), pdf["text"].tolist(), strict=True):
+                at = (known, key, t.encode("utf-8", "surrogatepass"))
                 least[bucket] = min(at, least.get(bucket, at))
                 most[bucket] = max(at, most.get(bucket, at))
         rows = [(b, *[x for has, key, t in (least[b], most[b]) for x in (key if has else None, t.decode("utf-8", "surrogatepass"))]) for b in least]
@@ -150,15 +149,16 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _frame([_compare(None if pd.isna(key) else int(key), t, sketch(t), f, sketch(f)) for key, t, f in zip(pdf["last_id"], pdf["last_text"], pdf["following"], strict=True)])
+            rows = zip(pdf["last_id"].tolist(), pdf["known"].tolist(), pdf["last_text"].tolist(), pdf["following"].tolist(), strict=True)
+            yield _frame([_compare(key if known else None, t, sketch(t), f, sketch(f)) for key, known, t, f in rows])
 
-    main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", "doc_id", "text").mapInPandas(inside, SEQUENCE_SCHEMA)
-    edges = dealt.mapInPandas(ends, "bucket int, first_id bigint, first_text string, last_id bigint, last_text string")
+    main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", *whole_id("doc_id"), "text").mapInPandas(inside, SEQUENCE_SCHEMA)
+    edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(ends, "bucket int, first_id bigint, first_text string, last_id bigint, last_text string")
     # A row for each range, of MAX_BUCKETS at most; after the last range comes the first.
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole))
-    joints = edges.select("last_id", "last_text", following.alias("following")).mapInPandas(across, SEQUENCE_SCHEMA)
+    joints = edges.select(*whole_id("last_id"), "last_text", following.alias("following")).mapInPandas(across, SEQUENCE_SCHEMA)
     return main.unionByName(joints)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP4_SQL, op4_decontamination
 from .fingerprint import op7_fingerprint
+from .jaccard_join import op2_jaccard_join
 from .language_id import op6_language_id
 from .license_scan import OP5_SQL, op5_license_scan
 from .mixing import OP10_SQL, op10_mixing
@@ -20,6 +21,7 @@ from .url_filter import op3_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_url_filter": op3_url_filter,
         "op4_decontamination": op4_decontamination,
         "op5_license_scan": op5_license_scan,
