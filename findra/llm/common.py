@@ -12,6 +12,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ def whole_id(name: str, known: str = "known") -> tuple[Column, Column]:
     return F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name), F.col(name).isNotNull().alias(known)
 
 
+def frame_of(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a pandas frame for a flat schema; whole numbers stay exact beside nulls."""
+    names = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ([] for _ in names)
+    whole = {"bigint": "Int64", "int": "Int32"}
+    return pd.DataFrame({n: pd.array(c, dtype=whole.get(t, "Float64" if t == "double" else object)) for (n, t), c in zip(names, map(list, columns), strict=True)})
+
+
 def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 

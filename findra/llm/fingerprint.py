@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, shingle_hashes, table, whole_id, words_of
+from .common import frame_of, range_bounds, range_bucket, shingle_hashes, table, whole_id, words_of
 
 #: Share of the hash range that is kept.
 FRACTION = 0.25
@@ -94,6 +94,8 @@ SEQUENCE_SCHEMA = (
     "contained_edited double, contained_next double"
 )
 
+ENDS_SCHEMA = "bucket int, first_id bigint, first_text string, last_id bigint, last_text string"
+
 
 def edited_text(text: str, following: str) -> str:
     """The text with its last quarter replaced by as many first code points of the following one."""
@@ -110,10 +112,6 @@ def _compare(key: int | None, text: str, own: np.ndarray, following: str, theirs
     )
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SEQUENCE_SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
-
-
 def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, compared along the ascending ids.
 
@@ -134,7 +132,7 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
                 if before is not None and before[0] == bucket:
                     rows.append(_compare(*before[1:], *now[2:]))
                 before = now
-            yield _frame(rows)
+            yield frame_of(rows, SEQUENCE_SCHEMA)
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least: dict[int, tuple] = {}
@@ -145,15 +143,15 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
                 least[bucket] = min(at, least.get(bucket, at))
                 most[bucket] = max(at, most.get(bucket, at))
         rows = [(b, *[x for has, key, t in (least[b], most[b]) for x in (key if has else None, t.decode("utf-8", "surrogatepass"))]) for b in least]
-        yield pd.DataFrame(rows, columns=["bucket", "first_id", "first_text", "last_id", "last_text"]).astype({"first_id": "Int64", "last_id": "Int64"})
+        yield frame_of(rows, ENDS_SCHEMA)
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = zip(pdf["last_id"].tolist(), pdf["known"].tolist(), pdf["last_text"].tolist(), pdf["following"].tolist(), strict=True)
-            yield _frame([_compare(key if known else None, t, sketch(t), f, sketch(f)) for key, known, t, f in rows])
+            yield frame_of([_compare(key if known else None, t, sketch(t), f, sketch(f)) for key, known, t, f in rows], SEQUENCE_SCHEMA)
 
     main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", *whole_id("doc_id"), "text").mapInPandas(inside, SEQUENCE_SCHEMA)
-    edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(ends, "bucket int, first_id bigint, first_text string, last_id bigint, last_text string")
+    edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(ends, ENDS_SCHEMA)
     # A row for each range, of MAX_BUCKETS at most; after the last range comes the first.
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, shingle_hashes, stored, table, whole_id, words_of
+from .common import batches_by_size, frame_of, shingle_hashes, stored, table, whole_id, words_of
 from .components import components
 
 #: Hash buckets whose shingle counts order shingles.
@@ -214,7 +214,7 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lo in range(1, len(found), LIST_ROW - 1):
                 rows.append((0, int(keys[at[start]]), int(found[0]), np.concatenate([found[:1], found[lo : lo + LIST_ROW - 1]]).tobytes(), None, None, None, None))
             start = end
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LIST_SCHEMA.split(", ")]).astype({"doc_id": "Int64", "n": "Int32", "p": "Int32", "edge": "Int64"})
+        yield frame_of(rows, LIST_SCHEMA)
 
 
 # --- pairs ---------------------------------------------------------------------------------------

@@ -105,12 +105,11 @@ def cell_weights(
     for dim in _DIMS:
         fitted = fitted.join(_targets(cells, dim, *how[dim]).withColumnRenamed("target", f"t_{dim}"), dim)
     fitted = stored(spark, fitted, "cells")
-    for i in range(rounds):
+    for _ in range(rounds):
         for dim in _DIMS:
             sums = fitted.groupBy(dim).agg(F.sum("weight").alias("s"))
             fitted = fitted.join(sums, dim).withColumn("weight", F.col("weight") * F.col(f"t_{dim}") / F.col("s")).drop("s")
-        if i % 2:
-            fitted = stored(spark, fitted, "cells")
+        fitted = stored(spark, fitted, "cells")  # each join above reads its input twice
     fitted = fitted.select(*_DIMS, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("rate"))
     # Water-filling: with the cells of the highest rate at probability 1, the others share what is left.
     # Rates are grouped first, so the ordered window runs over distinct rates.

@@ -7,8 +7,8 @@ transitions are free but O to O, which is 0; before the first token stands O.
 Labelled tokens come from labelled documents: a token of a toxic document is T if its word, or a prefix of
 it, stands in enough different contexts (neighbouring words, so that copies count once) of toxic
 documents and hardly in others. The field is trained on these tags by gradient descent on its exact
-likelihood; a logistic unit over three aggregates of the marginals (largest, expected number of T,
-chance of any T) is then fitted to the document labels.
+likelihood; a logistic unit over two aggregates of the marginals (the largest, the expected number of T)
+is then fitted to the document labels.
 
 Forward and backward passes run over all documents of a batch at once: texts are cut into chunks, each
 chunk's 2 x 2 transfer matrix is multiplied up side by side with all others, chunks are chained by
@@ -200,8 +200,8 @@ def tag_tokens(docs: list[list[str]], labels: list[int], evidence: set[str]) ->
 class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(BINS))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    #: Logistic unit over the aggregates: three weights and a bias; or a constant score.
-    unit: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    #: Logistic unit over the aggregates: two weights and a bias; or a constant score.
+    unit: np.ndarray = field(default_factory=lambda: np.zeros(3))
     constant: float | None = 0.0
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -210,21 +210,22 @@ class Model:
         return self.weights[np.array([features(w) for w in words])].sum(axis=1)
 
 
-def aggregates(p: np.ndarray, log_z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """By document: logit of the largest marginal, log of the expected number of T, log odds of any T."""
-    out = np.full((len(sizes), 3), -8.0)
+def aggregates(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """By document: logit of the largest marginal, log of the expected number of T among tokens of at least ``SPAN_MARGINAL``.
+
+    Tokens below it are left out, so that a long clean text does not add up to a toxic one.
+    """
+    out = np.full((len(sizes), 2), -8.0)
     some = np.flatnonzero(sizes)
     if len(some):
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
         top = np.maximum.reduceat(p, starts)
-        none = np.clip(-log_z[some], -50, -1e-12)  # the path of O alone has weight 1
         out[some, 0] = np.clip(np.log(top + 1e-12) - np.log1p(-top + 1e-12), -8, 8)
-        out[some, 1] = np.clip(np.log(np.add.reduceat(p, starts) + 1e-12), -8, 8)
-        out[some, 2] = np.clip(np.log(-np.expm1(none)) - none, -8, 8)
+        out[some, 1] = np.clip(np.log(np.add.reduceat(np.where(p >= SPAN_MARGINAL, p, 0.0), starts) + 1e-12), -8, 8)
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.02) -> np.ndarray:
     """Weights and bias by Newton steps with weight decay."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
@@ -248,6 +249,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         turn[label] += 1
         if turn[label] <= PER_LABEL // 2:
             chosen.append(i)
+    everything, all_labels = docs, labels
     docs, labels = [docs[i] for i in chosen], [labels[i] for i in chosen]
     tags = np.concatenate([np.empty(0), *tag_tokens(docs, labels, evidence)])
     sizes = np.array([len(d) for d in docs])
@@ -255,7 +257,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     ident = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d], np.int64)
     m = Model(constant=None)
     if not len(ident):
-        m.unit = _logistic(aggregates(np.empty(0), np.zeros(len(sizes)), sizes), np.array(labels, float))
+        m.unit = _logistic(aggregates(np.empty(0), sizes), np.array(labels, float))
         return m
     table_ = np.array([features(w) for w in vocabulary], np.int64)
     # Observed transitions, from O before each document.
@@ -278,8 +280,13 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         grad_t[0, 0] = 0.0
         squares_t += grad_t**2
         m.trans -= 0.3 * RATE * grad_t / np.sqrt(squares_t)
-    p, log_z, _ = marginals(m.weights[table_].sum(axis=1)[ident], sizes, m.trans)
-    m.unit = _logistic(aggregates(p, log_z, sizes), np.array(labels, float))
+    # The unit learns from all documents, at the labels' own frequencies.
+    tagger, seen = Tagger(m), []
+    for lo in range(0, len(everything), 200):
+        part = everything[lo : lo + 200]
+        part_sizes = np.array([len(d) for d in part], np.int64)
+        seen.append(aggregates(marginals(tagger.emissions(part), part_sizes, m.trans)[0], part_sizes))
+    m.unit = _logistic(np.concatenate(seen), np.array(all_labels, float))
     return m
 
 
@@ -298,7 +305,7 @@ class Tagger:
     def __init__(self, model: Model, cache: int = CACHE_WORDS):
         self.model, self.limit, self.known = model, cache, {}
 
-    def _emissions(self, docs: list[list[str]]) -> np.ndarray:
+    def emissions(self, docs: list[list[str]]) -> np.ndarray:
         new = set().union(*docs).difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known = {}
@@ -314,9 +321,9 @@ class Tagger:
             return np.full(len(texts), self.model.constant), [[] for _ in texts]
         docs = [_WORD.findall(t) if t else [] for t in texts]
         sizes = np.array([len(d) for d in docs], np.int64)
-        p, log_z, _ = marginals(self._emissions(docs), sizes, self.model.trans)
-        x = aggregates(p, log_z, sizes)
-        score = 1 / (1 + np.exp(-np.clip(x @ self.model.unit[:3] + self.model.unit[3], -30, 30)))
+        p, _, _ = marginals(self.emissions(docs), sizes, self.model.trans)
+        x = aggregates(p, sizes)
+        score = 1 / (1 + np.exp(-np.clip(x @ self.model.unit[:2] + self.model.unit[2], -30, 30)))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         hot = np.flatnonzero(p >= SPAN_MARGINAL)
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]

@@ -1,0 +1,417 @@
+"""The training-data operators on small tables: edge cases, brute force, round trips."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from findra.llm import common, decontaminate, fingerprint, jaccard_join, language_id, license_scan, mixing, quality, token_output, toxicity, url_filter
+
+LONG = " ".join(f"w{i}" for i in range(30_000))
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, items string, row int, tokens int"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t), "x", 7, 9) for i, t, lang, src in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows and clashing column names."""
+    return docs_of(spark, [
+        (1, None, "en", "a"), (2, "", "en", "a"), (3, LONG, None, None), (4, "one two", "fr", "b"), (4, "one two", "fr", "b"), (None, "one two three four five six", "de", "b"),
+        (6, "   \n\t ", "es", "c"), (7, "one two three four five six", "en", "c"), (2**60 + 1, "One two THREE four five six", "en", "c"), (9, "... 123 !!!", "en", "c"),
+    ])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs_of(spark, [])
+
+
+# --- n-gram Jaccard join
+
+
+def brute_components(rows):
+    sets = [set(common.shingle_hashes(common.words_of(t)).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return sorted(((d, len(sets[k]), least.get(find(k), d)) for k, (d, _) in enumerate(rows)), key=repr)
+
+
+def near_copies(n, seed):
+    rng = np.random.default_rng(seed)
+    word = lambda: f"v{rng.integers(4000)}"
+    passage = [word() for _ in range(30)]
+    bases = [[word() for _ in range(rng.integers(3, 120))] for _ in range(8)]
+    rows = []
+    for i in range(n):
+        w = list(bases[rng.integers(len(bases))]) if rng.random() < 0.7 else [word() for _ in range(rng.integers(1, 90))]
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(len(w))] = word()
+        if rng.random() < 0.4:
+            w = w + passage
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_components_equal_brute_force(spark, seed):
+    rows = near_copies(400, seed)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows)
+
+
+def test_jaccard_odd_rows(spark, odd, empty):
+    got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=repr)
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert jaccard_join.jaccard_components(empty).count() == 0
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(4) == 1 and 2**60 + 1 not in ids and {1, 2, 3, 6, 9} <= set(ids)
+
+
+def test_link_threshold_is_exact():
+    a = np.arange(7, dtype=np.uint64)
+    assert jaccard_join.links(a, a[:6]) and jaccard_join.links(np.arange(4, dtype=np.uint64), np.arange(3, dtype=np.uint64))
+    assert not jaccard_join.links(np.arange(10, dtype=np.uint64), np.arange(7, dtype=np.uint64))
+
+
+# --- decontamination
+
+ITEMS = "item_id bigint, text string"
+
+
+def brute_contamination(rows, items):
+    import re
+
+    def words(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = {}
+    for item, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for p in range(len(w) - n + 1) if w else ():
+            windows.setdefault(tuple(w[p : p + n]), set()).add(item)
+    out = []
+    for d, t in rows:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for p in range(len(w) - n + 1):
+                if its := windows.get(tuple(w[p : p + n])):
+                    hit |= set(range(p, p + n))
+                    found |= its
+        names = ",".join(sorted(str(i) for i in found if i is not None))
+        out.append((d, len(w), len(hit), len([i for i in found if i is not None]), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_contamination_equals_brute_force(spark, odd):
+    text = " ".join(f"q{i}" for i in range(25))
+    items = [(1, text), (2, "One, TWO!"), (3, None), (4, "..."), (5, "é ß Ünï"), (6, text + " tail"), (None, "unnamed item here")]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [
+        (20, "start " + text + " end"), (21, text.upper().replace(" ", "--")), (22, " ".join(text.split()[:9])), (23, "xé ß Ünï é ß Ünï"), (24, "an unnamed item here"),
+        (25, text + " " + text),
+    ]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS)).drop("spans")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_contamination(rows, items)
+    large = decontaminate.BROADCAST_WINDOWS
+    try:
+        decontaminate.BROADCAST_WINDOWS = 1
+        again = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS)).drop("spans")
+        assert sorted(map(tuple, again.collect()), key=repr) == brute_contamination(rows, items)
+    finally:
+        decontaminate.BROADCAST_WINDOWS = large
+
+
+def test_removing_documents_and_spans(spark, odd, empty):
+    text = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(1, text)], ITEMS)
+    docs = docs_of(spark, [(1, f"Keep this. {text}, and that!", "en", "s"), (2, "clean", "en", "s"), (None, None, None, None)])
+    assert [r["doc_id"] for r in decontaminate.remove_documents(docs, items).orderBy("doc_id").collect()] == [None, 2]
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, items).collect()}
+    assert cut == {1: "Keep this, and that!", 2: "clean", None: None}
+    assert decontaminate.remove_documents(odd, items.limit(0)).count() == odd.count()
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(odd, items.limit(0)).where("contaminated").count() == 0
+
+
+# --- URL filter
+
+
+def test_url_rules_and_parts(spark):
+    cases = {
+        None: ("", "", None, "allow"), "nothing": ("", "", None, "allow"), "": ("", "", None, "allow"),
+        "https://A.Example.COM/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "https://example.com/en/71#f": ("example.com", "/en/71", "example.com/en/7", "allow"),
+        "http://thing.example.com/en/8": ("thing.example.com", "/en/8", "com/en/", "block"), "http://x.net/de/1": ("x.net", "/de/1", "net/de/", "allow"),
+        "http://m.example.net/de/81": ("m.example.net", "/de/81", "example.net/de/8", "block"), "ftp://a.org/es/": ("a.org", "/es/", "org/es/", "block"),
+        "http://badexample.com/fr/7": ("badexample.com", "/fr/7", None, "allow"), "http://tionorg?/es/": ("tionorg", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(cases)], "page_id bigint, url string, host string, url_rule string").drop("url_rule")
+    out = url_filter.judge(pages, url_filter.train(url_filter.labelled(spark))).orderBy("page_id").collect()
+    assert [(r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in out] == list(cases.values())
+
+
+def test_url_model_equals_brute_force_and_generalises(spark):
+    weights, bias = url_filter.train(url_filter.labelled(spark))
+    assert url_filter.train(url_filter.labelled(spark).limit(0)) == ([0.0] * url_filter.DIM, 0.0)
+    urls = ["https://mega-casino-win.example.org/fr/3", "http://www.cheap-pills.example.org/de/4", "https://spam-farm.example.com/x", "https://blog.thered.example.org/fr/3", "http://einlich.example.com/de/9"]
+    got = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), (weights, bias)).collect()
+
+    def margin(host, path):
+        grams = []
+        for marked in (f"^{host}$", f"{path}|"):
+            for n in url_filter.GRAMS:
+                grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
+        idx = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(g.encode(), seed=42)).astype(np.int64)) % url_filter.DIM) for g in grams]
+        return bias + sum(weights[i] for i in idx) / np.sqrt(len(idx))
+
+    for r in got:
+        assert r["url_score"] == pytest.approx(1 / (1 + np.exp(-margin(r["url_host"], r["url_path"]))), abs=1e-6)
+    assert [r["url_verdict"] for r in got] == ["block", "block", "block", "allow", "allow"]
+
+
+# --- licence scan
+
+
+def test_licence_rules(spark, odd, empty):
+    grant, warranty = license_scan.SENTENCES["mit-grant"][0], license_scan.SENTENCES["mit-warranty"][0]
+    wrapped = "\n".join((grant + ". " + warranty + ".")[i : i + 0] or x for i, x in enumerate([" ".join(w) for w in np.array_split(np.array((grant + ". " + warranty + ".").split()), 9)]))
+    rows = {
+        1: ("some prose\nReleased under the MIT License.", ["mit"]), 2: (wrapped, ["mit"]), 3: ("Licensed under CC BY-NC 4.0.\nAll rights reserved.", ["cc-by-nc-4.0", "proprietary"]),
+        4: ("the licence of the place", []), 5: (f"{warranty}. {grant}.", []), 6: ("LICENSED UNDER THE APACHE LICENSE, VERSION 2.0", ["apache-2.0"]), 7: (None, []), 8: ("", []),
+    }
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(docs_of(spark, [(i, t, "en", "s") for i, (t, _) in rows.items()])).collect()}
+    assert got == {i: want for i, (_, want) in rows.items()}
+    assert license_scan.scan(odd).count() == odd.count()
+    assert license_scan.scan(empty).count() == 0
+
+
+# --- language ID
+
+PIECES = {"en": "the and thing ation here with was", "fr": "eau oui elle mentre tion être dans", "de": "ung keit schaft und der einlich für", "es": "ción ado mente que llos ñar esta"}
+
+
+def prose(lang, seed, n=60):
+    rng = np.random.default_rng(seed)
+    p = PIECES[lang].split()
+    return " ".join("".join(rng.choice(p, rng.integers(1, 3))) for _ in range(n))
+
+
+def test_language_id_learns_and_ignores_held_out(spark):
+    rows = [(i, prose(lang, i), lang, "s") for i, lang in enumerate(sorted(PIECES) * 40)]
+    docs = docs_of(spark, [(i, t, "zz" if common.crc_mod(i, 5) == 0 else lang, s) for i, t, lang, s in rows])
+    model = language_id.train(docs)
+    assert model.languages == sorted(PIECES)
+    out = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    right = [out[i]["lang_pred"] == lang for i, _, lang, _ in rows if common.crc_mod(i, 5) == 0]
+    assert len(right) > 10 and np.mean(right) > 0.95
+
+
+def test_language_id_odd_rows(spark, odd, empty):
+    model = language_id.train(odd)
+    out = language_id.predict(odd, model)
+    assert out.columns == [*odd.columns, "lang_pred", "lang_score"]
+    by = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in out.collect()}
+    for i in (1, 2, 6, 9):
+        assert by[i] == ("und", 0.0)
+    assert all(0 <= s <= 1 for _, s in by.values())
+    assert language_id.predict(odd, language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+# --- fingerprints
+
+
+def test_sketch_estimates_and_merges():
+    a = " ".join(f"a{i}" for i in range(4000))
+    b = " ".join(f"a{i}" for i in range(400))
+    x, y = fingerprint.sketch(a), fingerprint.sketch(b)
+    assert fingerprint.containment(y, x) > 0.97 and fingerprint.likeness(x, y) == pytest.approx(0.1, abs=0.03)
+    assert len(x) == pytest.approx(4000 * fingerprint.FRACTION, rel=0.15)
+    other = fingerprint.sketch(" ".join(f"b{i}" for i in range(50)))
+    assert np.array_equal(fingerprint.merge(x, other), np.union1d(x, other))
+    assert np.array_equal(fingerprint.from_text(fingerprint.to_text(x)), x)
+    assert fingerprint.to_text(fingerprint.sketch("")) == "" and fingerprint.likeness(fingerprint.sketch(None), fingerprint.sketch("")) == 1.0
+    assert len(fingerprint.sketch("hello")) == 1
+
+
+def test_sequence_equals_brute_force(spark, odd, empty):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(i, f"zz{i} " + "äöü " * (i % 37)) for i in range(20, 320)]
+    size = fingerprint.ROWS_PER_BUCKET
+    try:
+        fingerprint.ROWS_PER_BUCKET = 40
+        got = fingerprint.sequence_fingerprints(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    finally:
+        fingerprint.ROWS_PER_BUCKET = size
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + following[:n]
+        a, e, f = map(fingerprint.sketch, (t, edited, following))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.to_text(a), fingerprint.to_text(e), fingerprint.likeness(a, e), fingerprint.likeness(a, f)))
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(want, key=repr)
+    assert fingerprint.sequence_fingerprints(empty).count() == 0
+
+
+# --- token output
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("word_bpe_49k.json")
+
+
+def test_token_files_round_trip(spark, odd, empty, vocabulary):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary)
+    odd = odd.unionByName(docs_of(spark, [(50, "It's DOGS', x'S. a_b,c!? <|endoftext|>foo <|ENDOFTEXT|> İstanbul. ΣΑΣ ΟΔΟΣ. ́x café, ½. a½. x́. 日本語。", "en", "s")]))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want, start = [], 0
+    for i, t in rows:
+        ids = whole.encode(t, add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_output.token_output(spark, odd, vocabulary).collect()), key=repr) == sorted(want, key=repr)
+    assert token_output.token_output(spark, empty, vocabulary).count() == 0
+
+
+def test_any_subset_is_readable_and_damage_is_found(spark, odd, vocabulary, tmp_path):
+    index = token_output.write_token_files(odd, f"file://{tmp_path}/out", vocabulary)
+    some = index.where("seq % 3 = 1").orderBy(F.desc("offset"))
+    assert token_output.read_token_files(some).count() == index.where("seq % 3 = 1").count()
+    data = token_output.frame(5, np.array([1, 70000], "<u4").tobytes())
+    assert token_output.unframe(data) == (5, np.array([1, 70000], "<u4").tobytes())
+    for at in (0, 9, 14, len(data) - 1):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            token_output.unframe(bytes(broken))
+
+
+def test_encoder_cache_generations_do_not_change_ids(vocabulary):
+    from tokenizers import Tokenizer
+
+    whole, small = Tokenizer.from_file(vocabulary), token_output.ChunkEncoder(vocabulary, cache=20)
+    for seed in range(30):
+        t = prose(sorted(PIECES)[seed % 4], seed) + ", The END."
+        assert np.frombuffer(small.encode([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+# --- classifiers
+
+
+def test_marginals_equal_brute_force():
+    rng = np.random.default_rng(0)
+    sizes = np.array([0, 1, 3, 64, 65, 200])
+    emission, trans = rng.normal(-1, 3, sizes.sum()), np.array([[0, -1.0], [0.5, 0.3]])
+    p, log_z, moved = toxicity.marginals(emission, sizes, trans, pairs=True)
+    at, a = 0, np.exp(trans)
+    for k, n in enumerate(sizes):
+        e, f, forward = emission[at : at + n], np.array([1.0, 0.0]), []
+        for x in e:
+            f = f @ a * np.array([1, np.exp(x)])
+            forward.append(f)
+        b = np.ones(2)
+        for i in range(n - 1, -1, -1):
+            assert p[at + i] == pytest.approx(forward[i][1] * b[1] / (forward[i] @ b))
+            b = a @ (np.array([1, np.exp(e[i])]) * b)
+        assert log_z[k] == pytest.approx(np.log(f.sum()))
+        at += n
+    assert moved.sum() == pytest.approx(sizes.sum())
+
+
+def toxic_rows(n):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        w = prose("en", i, 50).split()
+        bad = i % 3 == 0
+        for _ in range(4 * bad):
+            w.insert(int(rng.integers(len(w))), str(rng.choice(["grumbler", "grumblest", "nitwit"])))
+        rows.append((i, " ".join(w), int(bad)))
+    return rows
+
+
+def test_toxicity_finds_spans(spark, odd, empty):
+    rows = toxic_rows(240)
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1 - y if common.crc_mod(i, 3) == 1 else y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [(i, t, y) for i, t, y in rows if common.crc_mod(i, 3) == 1]
+    assert all((out[i]["toxicity_score"] >= toxicity.THRESHOLD) == bool(y) for i, _, y in held)
+    for i, t, y in held:
+        if y:
+            assert {t[s["start"] : s["end"]].split()[0][:4] for s in out[i]["toxic_spans"]} <= {"grum", "nitw"} and out[i]["toxic_spans"]
+    scored = toxicity.score(odd, model)
+    assert scored.columns == [*odd.columns, "toxicity_score", "toxic_spans"]
+    assert all(0 <= r["toxicity_score"] < toxicity.THRESHOLD for r in scored.collect())
+    assert toxicity.score(empty, model).count() == 0
+    assert {r[0] for r in toxicity.score(odd, toxicity.train(odd, labels.limit(0))).select("toxicity_score").collect()} == {0.0}
+
+
+def test_quality_separates_junk(spark, odd, empty):
+    rows = [(i, prose("en", i, 150) if i % 2 else " ".join(w + "$$$" for w in prose("en", i, 150).split()), i % 2) for i in range(200)]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1 - y if common.crc_mod(i, 3) == 1 else y) for i, _, y in rows], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    out = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    held = [(i, y) for i, _, y in rows if common.crc_mod(i, 3) == 1]
+    assert np.mean([(out[i] >= 0.5) == bool(y) for i, y in held]) > 0.95
+    scored = quality.score(odd, model).collect()
+    assert len(scored) == odd.count() and all(0 <= r["quality_score"] <= 1 for r in scored)
+    assert quality.score(empty, model).count() == 0
+    attention = model.scores([quality.encode(rows[0][1])])[1][0]
+    assert attention.sum() == pytest.approx(1)
+
+
+# --- mixing
+
+
+def test_mixing_rakes_to_targets(spark, odd, empty):
+    rows = [(i, "word " * (5 + i % 40) + ("x@y.zz" if i % 5 == 0 else ""), ("en", "de", "fr", "xx")[i % 4 if i % 3 else 0], f"s{(i * i) % 7}") for i in range(1500)]
+    out = mixing.calibrated(spark, docs_of(spark, rows)).collect()
+    cells = {}
+    for r in out:
+        c = cells.setdefault((r["source"], r["lang"], r["mix_topic"]), [0, r["mix_weight"], r["mix_prob"]])
+        c[0] += r["mix_tokens"]
+        assert c[1:] == [r["mix_weight"], r["mix_prob"]]
+    total = sum(c[1] for c in cells.values())
+    named = {"en": 0.5, "de": 0.18, "fr": 0.18}
+    scale = sum(named.values()) + mixing.OTHER_LANGUAGES
+    for lang, share in [*named.items(), ("xx", mixing.OTHER_LANGUAGES)]:
+        assert sum(c[1] for k, c in cells.items() if k[1] == lang) / total == pytest.approx(share / scale, abs=0.01)
+    expected = sum(c[0] * c[2] for c in cells.values())
+    assert expected == pytest.approx(mixing.BUDGET * sum(c[0] for c in cells.values()), rel=0.01)
+    drawn = sum(r["mix_tokens"] for r in out if r["mix_keep"])
+    assert drawn == pytest.approx(expected, rel=0.1)
+    kept = mixing.sample(spark, odd)
+    assert kept.columns == odd.columns
+    assert mixing.calibrated(spark, empty).count() == 0
+    whole = mixing.calibrated(spark, odd, budget=1.0)
+    assert all(r["mix_prob"] == pytest.approx(1.0) for r in whole.collect() if r["mix_tokens"])
