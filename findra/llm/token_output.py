@@ -3,7 +3,7 @@
 File format, one file a bucket of the ordered key, all integers little-endian::
 
     record  = uint64 length | uint32 masked crc of those 8 bytes | payload | uint32 masked crc of the payload
-    payload = uint8 has_key | int64 key | uint32 n_ids | n_ids x uint32 id
+    payload = uint8 has_key | uint8 id_bytes | int64 key | uint32 n_ids | n_ids x id of id_bytes (2 or 4)
 
 The checksum is CRC-32 (zlib), rotated right by 15 bits plus a constant, so that a checksum of data
 that holds checksums stays strong. The index is a Parquet table with a row for each record: ``file,
@@ -22,7 +22,6 @@ one, so a repeated or speculative attempt is harmless.
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 import uuid
@@ -34,18 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_bucket, shared_dir
+from .common import frame_of, range_bounds, range_bucket, shared_dir, whole_id
 
 END_ID = 1
-#: Chunks a worker remembers at most; about 150 bytes each.
-CACHE_CHUNKS = 400_000
+#: Chunks in each of a worker's two cache generations at most; about 180 bytes each.
+CACHE_CHUNKS = 500_000
 ROWS_PER_FILE = 4_000
 
 INDEX_SCHEMA = "file string, bucket int, seq int, key bigint, offset bigint, length bigint, first_id bigint, n_ids bigint"
 READ_SCHEMA = "key bigint, bucket int, first_id bigint, n_ids bigint, ids_crc32 bigint"
 
-_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_TAIL = re.compile(r"^(.*[^\W_])([.,;:!?]+)$", re.S)
 
 
 def masked_crc(data: bytes) -> int:
@@ -54,8 +51,10 @@ def masked_crc(data: bytes) -> int:
 
 
 def frame(key: int | None, ids: bytes) -> bytes:
-    """One record; ``ids`` are little-endian unsigned 32-bit integers."""
-    payload = struct.pack("<BqI", key is not None, key or 0, len(ids) // 4) + ids
+    """One record; ``ids`` are little-endian unsigned 32-bit integers, stored in 2 bytes each where all fit."""
+    a = np.frombuffer(ids, "<u4")
+    narrow = not len(a) or a.max() < 1 << 16
+    payload = struct.pack("<BBqI", key is not None, 2 if narrow else 4, key or 0, len(a)) + (a.astype("<u2").tobytes() if narrow else ids)
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
 
@@ -67,10 +66,10 @@ def unframe(data: bytes) -> tuple[int | None, bytes]:
     payload = data[12:-4]
     if struct.unpack_from("<Q", data)[0] != len(payload) or struct.unpack("<I", data[-4:])[0] != masked_crc(payload):
         raise ValueError("damaged record")
-    has, key, n = struct.unpack_from("<BqI", payload)
-    if len(payload) != 13 + 4 * n:
+    has, wide, key, n = struct.unpack_from("<BBqI", payload)
+    if len(payload) != 14 + wide * n:
         raise ValueError("damaged record count")
-    return (key if has else None), payload[13:]
+    return (key if has else None), payload[14:] if wide == 4 else np.frombuffer(payload, "<u2", n, 14).astype("<u4").tobytes()
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -83,7 +82,8 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts with a ``tokenizers`` vocabulary, each distinct chunk once.
 
-    Only for vocabularies that drop white space and split at it.
+    Only for vocabularies that drop white space and split at it. The cache has two generations of
+    ``cache`` chunks: when the young one is full it becomes the old one, and chunks met again move back.
     """
 
     def __init__(self, path: str, cache: int = CACHE_CHUNKS):
@@ -91,45 +91,61 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         alphabet = _byte_alphabet()
         self.to_bytes = lambda w: "".join([alphabet[b] for b in w.encode()])
 
-    def _cores(self, new: list[str]) -> None:
-        """Puts the ids of new cores into the cache."""
-        model, whole = self.tokenizer.model, []
-        for w in new:
-            if w.isalpha() and (w.isascii() or (unicodedata.is_normalized("NFC", w) and w == w.lower())):
-                ids = [t.id for t in model.tokenize(w if w.isascii() else self.to_bytes(w))]
-                self.cores[w] = np.array(ids, "<u4").tobytes()
-            else:
-                whole.append(w)
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.cores[w] = np.array(e.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _split(chunk: str) -> tuple[str, str]:
-        """Core and trailing punctuation, which are separate pre-tokens; A-Z lower-cased unless a special token's text may be inside."""
-        if "<" in chunk:
-            return chunk, ""
-        core, tail = m.groups() if (m := _TAIL.match(chunk)) and m[1][-1].isalpha() else (chunk, "")
-        return (core.lower() if core.isascii() else core), tail
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encode_new(self, chunks: list[bytes]) -> None:
+        """Puts the ids of chunks that no generation has into the young one."""
+        tokenize, young, old = self.tokenizer.model.tokenize, self.young, self.old
+        whole: dict[bytes, str] = {}
+        parts = []
+        for c in chunks:
+            # Core and trailing punctuation are separate pre-tokens if a letter ends the core;
+            # "<" may begin a special token, whose letters' case matters.
+            stem = c.rstrip(b".,;:!?")
+            core = stem.decode("utf-8", "surrogatepass")
+            if b"<" in c or not core or not core[-1].isalpha():
+                if c not in young:
+                    whole[c] = c.decode("utf-8", "surrogatepass")
+                continue
+            tail = c[len(stem) :]
+            key = stem
+            if core.isascii():
+                core, key = core.lower(), stem.lower()
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                elif core.isalpha() and (core.isascii() or (core == core.lower() and unicodedata.is_normalized("NFC", core))):
+                    ids = [t.id for t in tokenize(core if core.isascii() else self.to_bytes(core))]
+                    young[key] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    whole[key] = core
+            if tail and tail not in young:
+                whole[tail] = tail.decode()
+            if key != c:
+                parts.append((c, key, tail))
+        for c, e in zip(whole, self.tokenizer.encode_batch_fast([*whole.values()], add_special_tokens=False), strict=True):
+            young[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for c, key, tail in parts:
+            young[c] = young[key] + young[tail] if tail else young[key]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        docs = [_SPACE.split(t) if t else [] for t in texts]
-        new = [c for c in set().union(*docs) if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.limit:
-            self.chunks, self.cores = {"": b""}, {}
-            new = [c for c in set().union(*docs) if c]
-        parts = [self._split(c) for c in new]
-        self._cores([w for w in {x for p in parts for x in p if x} if w not in self.cores])
-        self.cores[""] = b""
-        for c, (core, tail) in zip(new, parts, strict=True):
-            self.chunks[c] = self.cores[core] + self.cores[tail]
-        chunks = self.chunks
-        return [b"".join([chunks[c] for c in d]) for d in docs]
+        docs = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        need = set().union(*docs)
+        new = need.difference(self.young)
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young = self.young, {}
+            new = need
+        if self.old:
+            known = new.intersection(self.old)
+            self.young.update((c, self.old[c]) for c in known)
+            new = new - known
+        self._encode_new([*new])
+        young = self.young
+        return [b"".join([young[c] for c in d]) for d in docs]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -170,27 +186,26 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
             rows = []
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                for k, b, ids in zip(part["key"], part["bucket"], encoder(vocabulary).encode(part["text"].tolist()), strict=True):
+                for k, known, b, ids in zip(part["key"].tolist(), part["known"].tolist(), part["bucket"].tolist(), encoder(vocabulary).encode(part["text"].tolist()), strict=True):
                     if out is None or b != bucket:
                         if out is not None:
                             close()
                         fs, base = _filesystem(out_dir)
                         fs.create_dir(base, recursive=True)
-                        bucket, seq, offset, first = int(b), 0, 0, 0
+                        bucket, seq, offset, first = b, 0, 0, 0
                         final = f"{base}/part-{bucket:06d}.rec"
                         names = (f"{base}/_{uuid.uuid4().hex}.tmp", final)
                         out = fs.open_output_stream(names[0])
                     ids += end
-                    data = frame(None if pd.isna(k) else int(k), ids)
+                    data = frame(k if known else None, ids)
                     out.write(data)
-                    rows.append((f"{out_dir}/part-{bucket:06d}.rec", bucket, seq, None if pd.isna(k) else int(k), offset, len(data), first, len(ids) // 4))
+                    rows.append((f"{out_dir}/part-{bucket:06d}.rec", bucket, seq, k if known else None, offset, len(data), first, len(ids) // 4))
                     seq, offset, first = seq + 1, offset + len(data), first + len(ids) // 4
-            index = pd.DataFrame(rows, columns=["file", "bucket", "seq", "key", "offset", "length", "first_id", "n_ids"])
-            yield index.astype({"key": "Int64"})
+            yield frame_of(rows, INDEX_SCHEMA)
         if out is not None:
             close()
 
-    ordered = docs.withColumn("bucket", range_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "text")
+    ordered = docs.withColumn("bucket", range_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "text").select("bucket", *whole_id("key"), "text")
     ordered.mapInPandas(write, INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index")
 
@@ -211,7 +226,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                         f.seek(off)
                         key, ids = unframe(f.read(n))
                         rows.append((key, b, first, len(ids) // 4, zlib.crc32(ids)))
-            yield pd.DataFrame(rows, columns=["key", "bucket", "first_id", "n_ids", "ids_crc32"]).astype({"key": "Int64"})
+            yield frame_of(rows, READ_SCHEMA)
 
     return index.mapInPandas(read, READ_SCHEMA)
 
