@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings_queries, text_checks
+from . import findings_queries, go_checks, text_checks
 
-MODULES = (text_checks, findings_queries)
+MODULES = (text_checks, findings_queries, go_checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
