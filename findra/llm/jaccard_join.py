@@ -16,9 +16,10 @@ How it works:
   pair's overlap, and only pairs that may reach the threshold go on to be verified on whole sets.
 * Answers are derived from those of a similar set: every list first links its nodes to one leader only (a
   node with many common shingles, such as the original of many copies). Verified links make
-  components. A member's links inside its leader's component follow from the leader's, so the
-  second pass leaves out lists within one component and enumerates pairs of different components only.
-  That pass is complete, which makes the components exact however the leaders fared.
+  components. A member's links inside its leader's component follow from the leader's, so what follows
+  leaves out lists within one component. While different components still share too many lists, turns
+  compare each list's nodes with a few of its largest component. The last pass enumerates all pairs of
+  different components; it is complete, which makes the components exact however the leaders fared.
 
 Nodes are told apart by 52-bit hashes of sets with their size class and shingles by 64-bit hashes; equal
 hashes count as equal.
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, frame_of, shingle_hashes, stored, table, whole_id, words_of
+from .common import batches_by_size, frame_of, mix64, shingle_hashes, stored, table, text_batches, whole_id, words_of
 from .components import components
 
 #: Hash buckets whose shingle counts order shingles.
@@ -60,6 +61,12 @@ CLASS_GAP = int(np.log(4 / 3) / np.log(CLASS_BASE)) + 1
 _HASH_MASK = ((1 << 52) - 1) << 8
 LIST_SCHEMA = "kind int, key bigint, node bigint, nodes binary, doc_id bigint, n int, p int, edge bigint"
 POSTING_SCHEMA = "key bigint, node bigint, more binary"
+PAIR_SCHEMA = "a bigint, b bigint, c bigint"
+#: Nodes of a list's largest component that the others are compared with in one turn.
+LEADERS = 4
+#: Turns go on while enumerating all pairs of different components would make more pairs a posting than this.
+PAIRS_A_POSTING = 1
+MAX_TURNS = 2
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -247,33 +254,75 @@ def _to_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _counted(a, b)
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each list's nodes that are in different components, by blocks of near sizes."""
+#: A node in a packed row: its number, set size, and how many of its shingles another node may have.
+ENTRY = np.dtype([("x", "<i8"), ("n", "<i4"), ("s", "<i4")])
+
+
+def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries and components of each index list that has several components; lists within one are passed over."""
     for pdf in _groups(batches):
-        a, b, size = [], [], 0
-        keys, comps, nodes, more = pdf["key"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy(), pdf["more"].tolist()
+        keys, comps, packed = pdf["key"].to_numpy(), pdf["comp"].to_numpy(), pdf["entries"].tolist()
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
         mixed = np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)
         for s, e in zip(starts[mixed], ends[mixed], strict=True):
-            parts = [np.append(np.frombuffer(more[i], np.int64, offset=1), nodes[i]) if more[i] is not None else nodes[i : i + 1] for i in range(s, e)]
-            x = np.concatenate(parts)
+            parts = [np.frombuffer(packed[i], ENTRY) for i in range(s, e)]
+            entries = np.concatenate(parts)
             c = np.repeat(comps[s:e], [len(p) for p in parts])
-            x, first = np.unique(x, return_index=True)
-            c = c[first]
-            order = np.argsort(x & 255, kind="stable")
-            x, c = x[order], c[order]
-            reach = np.searchsorted(x & 255, (x & 255) + CLASS_GAP, side="right")
-            for i in range(len(x) - 1):
-                y = x[i + 1 : reach[i]][c[i + 1 : reach[i]] != c[i]]
-                if len(y):
-                    a.append(np.minimum(y, x[i]))
-                    b.append(np.maximum(y, x[i]))
-                    size += len(y)
-                if size > 1_000_000:
-                    yield _counted(a, b)
-                    a, b, size = [], [], 0
-        yield _counted(a, b)
+            first = np.unique(entries["x"], return_index=True)[1]
+            yield entries[first], c[first]
+
+
+def _fits(one: np.void, others: np.ndarray) -> np.ndarray:
+    """Whether sizes and shared shingles let a node link with others: overlap is 3/7 of both sizes at least."""
+    need = 3 * (others["n"].astype(np.int64) + int(one["n"]))
+    return (7 * np.minimum(others["s"], one["s"]).astype(np.int64) >= need) & _near(others["x"], one["x"])
+
+
+def _to_largest(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
+    """Pairs of each list's nodes with a few nodes of its largest component, chosen by this turn's hash.
+
+    The last row (``a`` and ``b`` -1) counts the pairs that enumerating all different components would make.
+    """
+    a, b, size, crossing = [], [], 0, 0
+    for x, c in _mixed(batches):
+        names, place, counts = np.unique(c, return_inverse=True, return_counts=True)
+        crossing += (len(x) ** 2 - int((counts.astype(np.int64) ** 2).sum())) // 2
+        inside = place == counts.argmax()
+        own, rest = x[inside], x[~inside]
+        if len(own) > LEADERS:
+            own = own[np.argpartition(mix64((own["x"] ^ np.int64(turn * 0x9E3779B9)).astype(np.uint64)), LEADERS)[:LEADERS]]
+        for leader in own:
+            y = rest["x"][_fits(leader, rest)]
+            a.append(np.full(len(y), leader["x"]))
+            b.append(y)
+            size += len(y)
+        if size > 1_000_000:
+            yield _counted(a, b)
+            a, b, size = [], [], 0
+    yield _counted(a, b)
+    yield pd.DataFrame({"a": [-1], "b": [-1], "c": [crossing]})
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of each list's nodes that are in different components, by blocks of near sizes."""
+    a, b, size = [], [], 0
+    for x, c in _mixed(batches):
+        order = np.argsort(x["x"] & 255, kind="stable")
+        x, c = x[order], c[order]
+        classes = x["x"] & 255
+        reach = np.searchsorted(classes, classes + CLASS_GAP, side="right")
+        for i in range(len(x) - 1):
+            block = x[i + 1 : reach[i]]
+            y = block["x"][(c[i + 1 : reach[i]] != c[i]) & _fits(x[i], block)]
+            if len(y):
+                a.append(np.minimum(y, x["x"][i]))
+                b.append(np.maximum(y, x["x"][i]))
+                size += len(y)
+            if size > 1_000_000:
+                yield _counted(a, b)
+                a, b, size = [], [], 0
+    yield _counted(a, b)
 
 
 def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -341,6 +390,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: ``doc_id, n_shingles, component_id``."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
     rank = spark.sparkContext.broadcast(commonness(bucket_counts(docs, "t")))  # 2 ** BUCKET_BITS bytes
@@ -352,32 +402,51 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.min(c).alias(c) for c in ("n", "p", "edge")])
     nodes = stored(spark, nodes, "nodes")
 
-    starred = lists.select("nodes").mapInPandas(_to_leaders, "a bigint, b bigint, c bigint")
-    first = stored(spark, _verified(stored(spark, _may_link(starred, nodes), "pairs"), docs), "links")
-    labels = components(spark, first)
-
-    # What each list row has of one component goes to the list's task as one row.
+    # What each task has of one component in a list goes to the list's task as one row.
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, comps, x = (pdf[c].to_numpy(np.int64) for c in ("key", "comp", "node"))
-            order = np.lexsort((x, comps, keys))
-            keys, comps, x = keys[order], comps[order], x[order]
+            keys, comps = pdf["key"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
+            entries = np.empty(len(pdf), ENTRY)
+            for to, of in (("x", "node"), ("n", "n"), ("s", "s")):
+                entries[to] = pdf[of].to_numpy()
+            order = np.lexsort((entries["x"], comps, keys))
+            keys, comps, entries = keys[order], comps[order], entries[order]
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])])) if len(keys) else np.empty(0, np.int64)
             ends = np.append(starts[1:], len(keys))
-            more = [b"L" + x[s + 1 : e].tobytes() if e - s > 1 else None for s, e in zip(starts, ends, strict=True)]
-            yield pd.DataFrame({"key": keys[starts], "comp": comps[starts], "node": x[starts], "more": more})
+            yield pd.DataFrame({"key": keys[starts], "comp": comps[starts], "entries": [entries[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]})
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             each = [np.frombuffer(raw, np.int64) for raw in pdf["nodes"]]
             yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(np.int64), [len(x) for x in each]), "node": np.concatenate([np.empty(0, np.int64), *each])})
 
-    members = lists.select("key", "nodes").mapInPandas(unpack, "key bigint, node bigint").join(labels, "node", "left")
-    members = members.select("key", F.coalesce("comp", "node").alias("comp"), "node").mapInPandas(pack, "key bigint, comp bigint, node bigint, more binary")
-    crossing = members.repartition("key").sortWithinPartitions("key", "comp", "node").mapInPandas(_across, "a bigint, b bigint, c bigint")
-    second = stored(spark, _verified(stored(spark, _may_link(crossing, nodes), "pairs"), docs), "links")
+    # Prefix shingles in no list are a node's own: the others, and those behind the prefix, are all it can share.
+    unpacked = lists.select("key", "nodes").mapInPandas(unpack, "key bigint, node bigint")
+    shared = unpacked.groupBy("node").agg(F.count_distinct("key").alias("k")).join(nodes, "node")
+    shared = shared.select("node", "n", (F.col("n") - F.col("p") + F.col("k")).cast("int").alias("s")).where(F.col("s") * 4 >= F.col("n").cast("bigint") * 3)
+    shared = stored(spark, shared, "shared")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return stored(spark, _verified(stored(spark, _may_link(pairs, nodes), "pairs"), docs), "links")
+
+    links_found = checked(lists.select("nodes").mapInPandas(_to_leaders, PAIR_SCHEMA))
+    linear = PAIRS_A_POSTING * (lists.agg(F.sum(F.octet_length("nodes"))).first()[0] or 0) // 8
+    for turn in range(MAX_TURNS + 1):
+        labels = components(spark, links_found)
+        labelled = shared.join(labels, "node", "left").select("node", "n", "s", F.coalesce("comp", "node").alias("comp"))
+        members = unpacked.join(labelled, "node").select("key", "comp", "node", "n", "s")
+        members = stored(spark, members.mapInPandas(pack, "key bigint, comp bigint, entries binary"), "members")
+        dealt = members.repartition("key").sortWithinPartitions("key", "comp")
+        surveyed = stored(spark, dealt.mapInPandas(lambda batches, turn=turn: _to_largest(batches, turn), PAIR_SCHEMA), "turn")
+        if turn == MAX_TURNS or (surveyed.where("a = -1").agg(F.sum("c")).first()[0] or 0) <= linear:
+            break
+        new = checked(surveyed.where("a <> -1"))
+        if not new.limit(1).count():
+            break
+        links_found = links_found.unionByName(new)
+    second = checked(dealt.mapInPandas(_across, PAIR_SCHEMA))
     if second.limit(1).count():
-        labels = components(spark, first.unionByName(second))
+        labels = components(spark, links_found.unionByName(second))
 
     of = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
     least = of.groupBy("comp").agg(F.min("doc").alias("component"))

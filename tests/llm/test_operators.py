@@ -79,6 +79,20 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows)
 
 
+def test_loose_group_takes_turns(spark):
+    """Copies of one text that are about as far from each other as links may be."""
+    rng = np.random.default_rng(4)
+    base = [f"g{i}" for i in range(200)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 7)), replace=False):
+            w[at] = f"e{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows)
+
+
 def test_jaccard_odd_rows(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=repr)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
