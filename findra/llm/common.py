@@ -26,6 +26,17 @@ _FIN2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S29, _S33 = np.uint64(29), np.uint64(33)
 
 
+#: Rows handed to a Python worker at once: whole texts can be long, and a worker holds several copies of a batch.
+BATCH_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for operators that hand whole texts to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

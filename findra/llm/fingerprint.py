@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame_of, range_bounds, range_bucket, shingle_hashes, table, whole_id, words_of
+from .common import frame_of, range_bounds, range_bucket, shingle_hashes, table, text_batches, whole_id, words_of
 
 #: Share of the hash range that is kept.
 FRACTION = 0.25
@@ -119,6 +119,7 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     their range's task; the last document of each range is compared with the first of the next one
     from a second look at the same shuffle, which yields two texts a range.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = range_bounds(docs, "doc_id", ROWS_PER_BUCKET)
     dealt = docs.withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, "bucket")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table, texts_of
+from .common import held_out, labelled_sample, table, text_batches, texts_of
 
 LENGTHS = (1, 2, 3, 4)
 BIN_BITS = 13
@@ -143,6 +143,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES x BINS x lengths
 
     @F.pandas_udf("lang string, score double")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table, texts_of
+from .common import held_out, labelled_sample, table, text_batches, texts_of
 
 PASSAGE = 48
 PER_LABEL = 600
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
 def score(docs: DataFrame, model: Model, text: str = "text", score_name: str = "quality_score") -> DataFrame:
     """``docs`` with the score of every whole text."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame_of, range_bounds, range_bucket, shared_dir, whole_id
+from .common import frame_of, range_bounds, range_bucket, shared_dir, text_batches, whole_id
 
 END_ID = 1
 #: Chunks in each of a worker's two cache generations at most; about 180 bytes each.
@@ -169,6 +169,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
 
     Returns the offset index, itself written there as ``index``.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     bounds = range_bounds(docs, "key", rows_per_file)
     end = struct.pack("<I", end_id)

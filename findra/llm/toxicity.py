@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, held_out, labelled_sample, table, texts_of
+from .common import batches_by_size, held_out, labelled_sample, table, text_batches, texts_of
 
 #: Toxic documents that are learned from at most; CLEAN_TIMES as many others.
 PER_LABEL = 800
@@ -346,6 +346,7 @@ _TAGGERS: dict[str, Tagger] = {}
 
 def score(docs: DataFrame, model: Model, text: str = "text", score_name: str = "toxicity_score", spans_name: str = "toxic_spans") -> DataFrame:
     """``docs`` with the score of every whole text and its toxic spans as code point offsets."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS numbers
     key = uuid.uuid4().hex
 
