@@ -94,9 +94,10 @@ def test_generations(spark):
 
 def test_watch_emits_changed_results_only(spark, tmp_path):
     source = tmp_path / "in"
-    spark.createDataFrame([("a", 1)], "k string, v int").write.parquet(str(source / "g1"))
+    for n, key in enumerate("aab"):
+        spark.createDataFrame([(key, n)], "k string, v int").coalesce(1).write.parquet(str(source / f"g{n}"))
     stream = spark.readStream.schema("k string, v int").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(str(source))
     seen = []
     q = watch(stream, lambda df: df.select("k").distinct(), lambda df, n: seen.append(sorted(r["k"] for r in df.collect())), availableNow=True)
     q.awaitTermination(60)
-    assert seen == [["a"]]
+    assert seen == [["a"], ["b"]]
