@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..golang import checks, fixture, semantic
+from ..golang import checks, fixes, fixture, semantic
 from ..operators import findings
 
 QUERIES: dict = {}
@@ -43,6 +45,15 @@ def go_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.summary_by_code(found)
 
 
+def go_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that automatic fixes change, with the digest of the result."""
+    return fixes.fixed(fixture.files(spark)).select("path", F.sha2("content", 256).alias("digest"))
+
+
+#: What the fixes take out of the fixture's files.
+_FIXED = {"shapes/control.go": ("break", ""), "shapes/expressions.go": ("!!b", "b"), "semantic/calls.go": ("append(s)", "s")}
+QUERIES["go_fixed"] = go_fixed
+ORACLE["go_fixed"] = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{hashlib.sha256(fixture.sources()[p].replace(*r).encode()).hexdigest()}')" for p, r in _FIXED.items()) + ") AS t(path, digest)"
 QUERIES |= {"go_catalogue": go_catalogue, "go_findings": go_findings}
 ORACLE["go_catalogue"] = (
     "SELECT * FROM (VALUES "
