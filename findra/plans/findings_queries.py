@@ -260,13 +260,14 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.join(text, ["doc_id", "line_no"]).select("doc_id", "at_line", "line_no", "line")
 
 
-_SPANS = "SELECT l_orderkey AS file, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS id, CAST(l_partkey % 100 AS INTEGER) AS lo, CAST(l_partkey % 100 + l_quantity AS INTEGER) AS hi FROM lineitem"
+_SPANS = "SELECT l_orderkey AS file, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS id, min(CAST(l_partkey % 100 AS INTEGER)) AS lo, max(CAST(l_partkey % 100 + l_quantity AS INTEGER)) AS hi FROM lineitem GROUP BY 1, 2"
 
 
 @query(f"SELECT DISTINCT file, id FROM (SELECT a.file, unnest([a.id, b.id]) AS id FROM ({_SPANS}) a JOIN ({_SPANS}) b ON a.file = b.file AND a.id < b.id AND a.lo < b.hi AND b.lo < a.hi)")
 def edit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that overlap another one of their file."""
     spans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS id", "CAST(l_partkey % 100 AS INT) AS lo", "CAST(l_partkey % 100 + l_quantity AS INT) AS hi")
+    spans = spans.groupBy("file", "id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return edits.conflicting(spans)
 
 
