@@ -254,7 +254,7 @@ def _to_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _counted(a, b)
 
 
-#: A node in a packed row: its number, set size, and how many of its shingles another node may have.
+#: A node in a packed row: its number, set size, and its shingles in lists or behind its prefix.
 ENTRY = np.dtype([("x", "<i8"), ("n", "<i4"), ("s", "<i4")])
 
 
@@ -274,9 +274,16 @@ def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _fits(one: np.void, others: np.ndarray) -> np.ndarray:
-    """Whether sizes and shared shingles let a node link with others: overlap is 3/7 of both sizes at least."""
-    need = 3 * (others["n"].astype(np.int64) + int(one["n"]))
-    return (7 * np.minimum(others["s"], one["s"]).astype(np.int64) >= need) & _near(others["x"], one["x"])
+    """Whether sizes and shared shingles let a node link with others: overlap is 3/7 of both sizes at least.
+
+    The overlap is at most the larger set's ``s``: if its prefix ends first, all it shares up to there is
+    counted in ``s``; if the smaller set's does, that set has no more shingles behind its prefix than the
+    larger one has. The smaller set's ``s`` is no bound: what it shares behind the larger one's prefix
+    may stand in no list.
+    """
+    n, own = others["n"].astype(np.int64), int(one["n"])
+    s = np.where(n > own, others["s"], np.where(n < own, one["s"], np.minimum(others["s"], one["s"]))).astype(np.int64)
+    return (7 * s >= 3 * (n + own)) & _near(others["x"], one["x"])
 
 
 def _to_largest(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
@@ -420,7 +427,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             each = [np.frombuffer(raw, np.int64) for raw in pdf["nodes"]]
             yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(np.int64), [len(x) for x in each]), "node": np.concatenate([np.empty(0, np.int64), *each])})
 
-    # Prefix shingles in no list are a node's own: the others, and those behind the prefix, are all it can share.
+    # Shingles in lists or behind the prefix: all that a node can share with one that is not larger.
     unpacked = lists.select("key", "nodes").mapInPandas(unpack, "key bigint, node bigint")
     shared = unpacked.groupBy("node").agg(F.count_distinct("key").alias("k")).join(nodes, "node")
     shared = shared.select("node", "n", (F.col("n") - F.col("p") + F.col("k")).cast("int").alias("s")).where(F.col("s") * 4 >= F.col("n").cast("bigint") * 3)

@@ -93,6 +93,18 @@ def test_loose_group_takes_turns(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows)
 
 
+def test_links_of_unequal_sizes_behind_a_third_text(spark):
+    """A passage, the passage with a tail as long as a link allows, and a third text with the passage that links with neither."""
+    rows = []
+    for k in range(60):
+        passage, n = [f"p{k}x{i}" for i in range(104)], 30 + k % 4
+        rows += [(3 * k, " ".join(passage)), (3 * k + 1, " ".join(passage + [f"a{k}x{i}" for i in range(n)])), (3 * k + 2, " ".join(passage + [f"b{k}x{i}" for i in range(60)]))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 120
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_jaccard_odd_rows(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=repr)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
