@@ -1,7 +1,7 @@
 """License scans by sentence rules: normalised sentences become known sentence identifiers, whose sequence is matched against ordered licence rules.
 
 A text is cut into sentences twice: by lines (a notice on a line of its own) and by paragraphs (a
-licence text wrapped over lines). Sentences end at ``.``, ``!`` or ``?`` before white space.
+licence text wrapped over lines). Line feeds, carriage returns and both together break lines. Sentences end at ``.``, ``!`` or ``?`` before white space.
 Normalising lower-cases A-Z and reduces everything but ASCII letters, digits and non-ASCII characters
 to single spaces. Known sentences are joined from a fixed broadcast table; the identifiers of a cut, in
 text order, make a sequence in which a rule's identifiers must stand one after another. A longer rule
@@ -22,9 +22,13 @@ from .common import table
 SENTENCES = {
     "mit-ref": ["Released under the MIT License", "Licensed under the MIT License", "MIT License", "The MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT", "This project is licensed under the MIT License"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "mit-permission": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
     "apache-ref": ["Licensed under the Apache License, Version 2.0", "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
     "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-obtain": ["You may obtain a copy of the License at"],
+    "apache-url": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"],
     "apache-warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "GNU General Public License, version 3", "Licensed under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "SPDX-License-Identifier: GPL-3.0-or-later"],
@@ -43,7 +47,7 @@ SENTENCES = {
 
 #: Licence rules as ordered sentence identifiers.
 RULES = {
-    "apache-2.0": [["apache-ref", "apache-copy", "apache-warranty"], ["apache-ref"]],
+    "apache-2.0": [["apache-ref", "apache-obtain", "apache-url", "apache-warranty"], ["apache-ref", "apache-copy", "apache-warranty"], ["apache-ref"]],
     "bsd-3-clause": [["bsd3-ref", "bsd-grant"], ["bsd3-ref"]],
     "bsd": [["bsd-grant"]],
     "cc-by-4.0": [["cc-by-ref"]],
@@ -54,7 +58,7 @@ RULES = {
     "gpl-3.0": [["gpl3-ref"]],
     "gpl-3.0-or-later": [["gpl3-later", "gpl-warranty"], ["gpl3-later"]],
     "lgpl-3.0": [["lgpl-ref"]],
-    "mit": [["mit-ref", "mit-grant", "mit-warranty"], ["mit-grant", "mit-warranty"], ["mit-ref"]],
+    "mit": [["mit-ref", "mit-permission", "mit-notice", "mit-warranty"], ["mit-permission", "mit-notice", "mit-warranty"], ["mit-ref", "mit-grant", "mit-warranty"], ["mit-grant", "mit-warranty"], ["mit-ref"]],
     "mpl-2.0": [["mpl-ref"]],
     "proprietary": [["rights-reserved"]],
 }
@@ -82,6 +86,7 @@ def _sentences(text: Column) -> Column:
     def cut(k: int):
         return lambda s, i: F.struct(F.lit(k).alias("cut"), i.alias("at"), s.alias("raw"))
 
+    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     marked = F.regexp_replace(text, "([.!?])[ \\t]+", "$1\n")
     unwrapped = F.regexp_replace(F.regexp_replace(text, "\n[ \\t]*\n", "\u0001"), "\n", " ")
     cuts = [F.split(marked, "\n", -1), F.split(F.regexp_replace(unwrapped, "([.!?]) +", "$1\u0001"), "\u0001", -1)]

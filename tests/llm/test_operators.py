@@ -234,6 +234,51 @@ def test_licence_rules(spark, odd, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+MIT_BODY = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+APACHE_HEADER = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licences_by_their_verbatim_texts(spark):
+    texts = [MIT_BODY, "MIT License\n\n" + MIT_BODY, APACHE_HEADER]
+    rows = [t.replace("\n", end) for t in texts for end in ("\n", "\r\n", "\r")]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()}
+    assert [got[i]["licences"] for i in range(9)] == [["mit"]] * 6 + [["apache-2.0"]] * 3
+    assert all("|apache-ref||apache-obtain||apache-url||apache-warranty|" in got[i]["idents"] for i in (6, 7, 8))
+
+
 # --- language ID
 
 PIECES = {"en": "the and thing ation here with was", "fr": "eau oui elle mentre tion être dans", "de": "ung keit schaft und der einlich für", "es": "ción ado mente que llos ñar esta"}
