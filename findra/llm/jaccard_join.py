@@ -59,7 +59,7 @@ CLASS_BASE = 1.06
 CLASS_GAP = int(np.log(4 / 3) / np.log(CLASS_BASE)) + 1
 
 _HASH_MASK = ((1 << 52) - 1) << 8
-LIST_SCHEMA = "kind int, key bigint, node bigint, nodes binary, doc_id bigint, n int, p int, edge bigint"
+LIST_SCHEMA = "kind int, key bigint, node bigint, nodes binary, doc_id bigint, row bigint, n int, p int, edge bigint"
 POSTING_SCHEMA = "key bigint, node bigint, more binary"
 PAIR_SCHEMA = "a bigint, b bigint, c bigint"
 #: Nodes of a list's largest component that the others are compared with in one turn.
@@ -153,10 +153,10 @@ def _postings(batches: Iterator[pd.DataFrame], rank: np.ndarray) -> Iterator[pd.
     """Prefix postings of each node once a task, and a row with each document's facts."""
     seen: set[int] = set()
     for pdf in batches:
-        texts, ids = pdf["t"].tolist(), list(zip(pdf["i"].tolist(), pdf["known"].tolist(), strict=True))
+        texts, ids = pdf["t"].tolist(), list(zip(pdf["i"].tolist(), pdf["known"].tolist(), pdf["row"].tolist(), strict=True))
         for lo, hi in batches_by_size(texts, BATCH_CHARS):
             keys, nodes, facts = [], [], []
-            for (i, known), t in zip(ids[lo:hi], texts[lo:hi], strict=True):
+            for (i, known, row), t in zip(ids[lo:hi], texts[lo:hi], strict=True):
                 h = shingle_hashes(words_of(t))
                 n = len(h)
                 node = p = edge = 0
@@ -172,7 +172,7 @@ def _postings(batches: Iterator[pd.DataFrame], rank: np.ndarray) -> Iterator[pd.
                         keys.append(k[:p].astype(np.int64))
                         nodes.append(np.full(p, node, np.int64))
                 spread = xxhash.xxh64_intdigest(f"{i} {n} {node}".encode()) >> 8
-                facts.append((spread, node, b"F" + struct.pack("<?qiiq", known, i, n, p, edge)))
+                facts.append((spread, node, b"F" + struct.pack("<?qqiiq", known, i, row, n, p, edge)))
             k, x, more = _grouped(np.concatenate(keys), np.concatenate(nodes)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64), [])
             yield pd.DataFrame({"key": np.concatenate([k, [f[0] for f in facts]]).astype(np.int64), "node": np.concatenate([x, [f[1] for f in facts]]).astype(np.int64), "more": more + [f[2] for f in facts]})
 
@@ -204,8 +204,8 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fact = np.array([m is not None and m[:1] == b"F" for m in more], bool)
         rows = []
         for i in np.flatnonzero(fact):
-            known, doc_id, n, p, edge = struct.unpack("<?qiiq", more[i][1:])
-            rows.append((1, int(keys[i]), int(nodes[i]), None, doc_id if known else None, n, p, edge))
+            known, doc_id, row, n, p, edge = struct.unpack("<?qqiiq", more[i][1:])
+            rows.append((1, int(keys[i]), int(nodes[i]), None, doc_id if known else None, row, n, p, edge))
         at = np.flatnonzero(~fact)
         k = keys[at]
         same = k[1:] == k[:-1]
@@ -219,7 +219,7 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = [nodes[at[start:end]], *[np.frombuffer(more[i], np.int64, offset=1) for i in at[start:end] if more[i] is not None]]
             found = np.unique(np.concatenate(parts))
             for lo in range(1, len(found), LIST_ROW - 1):
-                rows.append((0, int(keys[at[start]]), int(found[0]), np.concatenate([found[:1], found[lo : lo + LIST_ROW - 1]]).tobytes(), None, None, None, None))
+                rows.append((0, int(keys[at[start]]), int(found[0]), np.concatenate([found[:1], found[lo : lo + LIST_ROW - 1]]).tobytes(), None, None, None, None, None))
             start = end
         yield frame_of(rows, LIST_SCHEMA)
 
@@ -333,24 +333,24 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Counted pairs whose overlap bound reaches the threshold, with the documents that stand for them.
+    """Counted pairs whose overlap bound reaches the threshold, with the rows that stand for them.
 
     All shared shingles up to the smaller prefix end are counted; beyond it the set of that end has
     ``n - p`` shingles left.
     """
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
-        of = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "p", "edge")])
+        of = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("row", "n", "p", "edge")])
         pairs = pairs.join(of, side)
     left = F.when(F.col("edge_a") < F.col("edge_b"), F.col("n_a") - F.col("p_a")).when(F.col("edge_a") > F.col("edge_b"), F.col("n_b") - F.col("p_b")).otherwise(F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")))
     both = (F.col("n_a") + F.col("n_b")).cast("bigint")
     fits = (F.greatest("n_a", "n_b").cast("bigint") * 3 <= F.least("n_a", "n_b").cast("bigint") * 4) & ((F.col("c") + left) * 7 >= both * 3)
-    return pairs.where(fits).select("a", "b", "doc_a", "doc_b")
+    return pairs.where(fits).select("a", "b", "row_a", "row_b")
 
 
 def _named(spark: SparkSession, ids: DataFrame) -> Column:
-    """A filter on ``i`` that lets all of ``ids`` pass, and few others while these are few."""
-    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("i", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)])).alias("bit"))
+    """A filter on ``row`` that lets all of ``ids`` pass, and few others while these are few."""
+    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)])).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("m"))
     filled = np.zeros(BLOOM_BITS // 32, np.int64)
     for w, m in words.collect():  # BLOOM_BITS / 32 rows at most
@@ -364,14 +364,22 @@ def _named(spark: SparkSession, ids: DataFrame) -> Column:
             out &= (shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
         return pd.Series(out)
 
-    return named(*[F.pmod(F.xxhash64("i", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)])
+    return named(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of nodes ``u, v`` whose whole sets link."""
+def _row(doc_id: str, text: str) -> Column:
+    """What tells rows apart, null-safe: a 64-bit hash of id and text."""
+    return F.xxhash64(doc_id, text)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, lone: bool) -> DataFrame:
+    """The pairs of nodes ``u, v`` whose whole sets link; with ``lone`` some nodes have rows with null ids only."""
     spark = docs.sparkSession
-    named = _named(spark, pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("i")).distinct())
-    texts = docs.where(F.col("i").isNotNull()).where(named)
+    named = _named(spark, pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
+    rows = docs.select("i", "t", _row("i", "t").alias("row"))
+    texts = rows.where(F.col("i").isNotNull()).where(named).select("row", "t")
+    if lone:  # equal texts without an id are one row here
+        texts = texts.unionByName(rows.where(F.col("i").isNull()).where(named).groupBy("row").agg(F.min("t").alias("t")))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -382,32 +390,33 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if held.get("text") is not ta and held.get("text") != ta:
                     held = {"text": ta, "set": shingle_hashes(words_of(ta))}
                 x, y = held["set"], shingle_hashes(words_of(tb))
-                # Ids may repeat with other texts; the set must be the node's.
+                # Hashes of rows may be equal; the set must be the node's.
                 if set_hash(x) == a & _HASH_MASK and set_hash(y) == b & _HASH_MASK and links(x, y):
                     rows.append((a, b))
             yield pd.DataFrame(rows, columns=["u", "v"], dtype=np.int64)
 
-    joined = pairs.join(texts.select(F.col("i").alias("doc_b"), F.col("t").alias("tb")), "doc_b")
-    joined = joined.join(texts.select(F.col("i").alias("doc_a"), F.col("t").alias("ta")), "doc_a")
+    joined = pairs.join(texts.select(F.col("row").alias("row_b"), F.col("t").alias("tb")), "row_b")
+    joined = joined.join(texts.select(F.col("row").alias("row_a"), F.col("t").alias("ta")), "row_a")
     return joined.select("a", "b", "ta", "tb").mapInPandas(test, "u bigint, v bigint").distinct()
 
 
 # --- the operator --------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: ``doc_id, n_shingles, component_id``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """A row for each document: ``doc_id, row, n``, and of its component (null for empty sets) the least id and its row, ``component, kept``."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t"))
     rank = spark.sparkContext.broadcast(commonness(bucket_counts(docs, "t")))  # 2 ** BUCKET_BITS bytes
 
-    whole = docs.select(*whole_id("i"), "t")
+    whole = docs.select(_row("i", "t").alias("row"), *whole_id("i"), "t")
     postings = whole.mapInPandas(lambda batches: _postings(batches, rank.value), POSTING_SCHEMA)
     index = stored(spark, postings.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_lists, LIST_SCHEMA), "lists")
     facts, lists = index.where("kind = 1"), index.where("kind = 0")
-    nodes = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.min(c).alias(c) for c in ("n", "p", "edge")])
-    nodes = stored(spark, nodes, "nodes")
+    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), *[F.min(c).alias(c) for c in ("n", "p", "edge")])
+    nodes = stored(spark, nodes.select("*", F.col("first.row").alias("row")), "nodes")
+    lone = bool(nodes.where("first.lone").limit(1).count())
 
     # What each task has of one component in a list goes to the list's task as one row.
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -434,7 +443,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = stored(spark, shared, "shared")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return stored(spark, _verified(stored(spark, _may_link(pairs, nodes), "pairs"), docs), "links")
+        return stored(spark, _verified(stored(spark, _may_link(pairs, nodes), "pairs"), docs, lone), "links")
 
     links_found = checked(lists.select("nodes").mapInPandas(_to_leaders, PAIR_SCHEMA))
     linear = PAIRS_A_POSTING * (lists.agg(F.sum(F.octet_length("nodes"))).first()[0] or 0) // 8
@@ -455,11 +464,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if second.limit(1).count():
         labels = components(spark, links_found.unionByName(second))
 
-    of = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
-    least = of.groupBy("comp").agg(F.min("doc").alias("component"))
-    of = stored(spark, of.join(least, "comp").select("node", "component"), "components")
-    joined = facts.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
-    return joined.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+    least = of.groupBy("comp").agg(F.min("first").alias("first"))
+    of = of.select("node", "comp").join(least, "comp").select("node", F.col("first.doc_id").alias("component"), F.col("first.row").alias("kept"))
+    of = stored(spark, of, "components")
+    return facts.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left").drop("node")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: ``doc_id, n_shingles, component_id``."""
+    found = _labelled(docs, doc_id, text)
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

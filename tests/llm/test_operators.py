@@ -105,6 +105,16 @@ def test_links_of_unequal_sizes_behind_a_third_text(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_null_ids_link_and_bridge(spark):
+    """Two texts that link only through one whose rows have no id; a pair without any id."""
+    w = [f"n{i}" for i in range(130)]
+    rows = [(1, " ".join(w[:100])), (None, " ".join(w[:115])), (None, " ".join(w[:115])), (2, " ".join(w)), (None, " ".join(f"m{i}" for i in range(60))), (None, " ".join(f"m{i}" for i in range(62)))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_components(rows)
+    assert (2, 126, 1) in want
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_jaccard_odd_rows(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=repr)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
