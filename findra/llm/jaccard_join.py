@@ -478,11 +478,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id; of repeated rows one stays."""
-    found = jaccard_components(docs, doc_id, text)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other_id")).distinct()
-    kept = docs.join(others, docs[doc_id] == others["other_id"], "left_anti")
-    return kept.dropDuplicates([doc_id, text])
+    """``docs`` with one row of each component: one of the smallest id, a null id only where there is no other; of repeated rows one stays."""
+    others = _labelled(docs, doc_id, text).where("row <> kept").select(F.col("row").alias("other_row")).distinct()
+    row = F.xxhash64(docs[doc_id].cast("bigint"), docs[text])
+    return docs.join(others, row == others["other_row"], "left_anti").dropDuplicates([doc_id, text])
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,14 @@ def test_null_ids_link_and_bridge(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_keep_one_decides_by_row(spark):
+    """An id on two texts, one of them a near copy; two linked texts of the smallest id; near copies without an id."""
+    a, b, c, d = ([f"{x}{i}" for i in range(90)] for x in "abcd")
+    rows = [(1, " ".join(a)), (2, " ".join(a[:85])), (2, " ".join(b)), (3, " ".join(c)), (3, " ".join(c[:86])), (None, " ".join(d)), (None, " ".join(d[:87])), (None, " ".join(d[:87]))]
+    got = [(r["doc_id"], r["text"].split()[0]) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=repr) == [(1, "a0"), (2, "b0"), (3, "c0"), (None, "d0")]
+
+
 def test_jaccard_odd_rows(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=repr)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
