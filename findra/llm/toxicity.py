@@ -29,7 +29,8 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -169,21 +170,26 @@ def evidence_of(docs: list[list[str]], labels: list[int]) -> set[str]:
     for words, label in zip(docs, labels, strict=True):
         if label:
             often.update(p for w in words for p in _prefixes(w))
-    candidates = {p for p, n in often.items() if n >= MIN_CONTEXTS}
+    candidates = {p: k for k, p in enumerate(sorted(p for p, n in often.items() if n >= MIN_CONTEXTS))}
     del often
-    found: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
-    tokens = [0, 0]
-    for words, label in zip(docs, labels, strict=True):
-        side = found[1 if label else 0]
-        tokens[1 if label else 0] += len(words)
-        for i, w in enumerate(words):
-            for p in _prefixes(w):
-                if p in candidates and len(side[p]) < 256:
-                    side[p].add(hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
+    mask = (1 << len(candidates).bit_length()) - 1
+    distinct, tokens = [], [0, 0]
+    for side in (0, 1):
+        # A hash of the context with the candidate's number in its low bits: eight bytes an occurrence.
+        keys = array("q")
+        for words, label in zip(docs, labels, strict=True):
+            if bool(label) != bool(side):
+                continue
+            tokens[side] += len(words)
+            for i, w in enumerate(words):
+                context = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")) & ~mask
+                keys.extend(context | candidates[p] for p in _prefixes(w) if p in candidates)
+        distinct.append(np.bincount(np.unique(np.frombuffer(keys, np.int64)) & mask, minlength=len(candidates)) if keys else np.zeros(len(candidates), np.int64))
     base = tokens[1] / max(1, sum(tokens))
     out = set()
-    for p, contexts in found[1].items():
-        k, n = len(contexts), len(contexts) + len(found[0].get(p, ()))
+    for p, at in candidates.items():
+        k = int(distinct[1][at])
+        n = k + int(distinct[0][at])
         if k >= MIN_CONTEXTS and k >= MIN_SHARE * n:
             ratio = 2 * (k * math.log(k / (n * base)) + ((n - k) * math.log((n - k) / (n * (1 - base))) if n > k else 0.0))
             if ratio >= MIN_RATIO:

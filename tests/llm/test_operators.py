@@ -446,6 +446,11 @@ def toxic_rows(n):
     return rows
 
 
+def test_evidence_counts_all_contexts():
+    docs = [[f"l{i}", "vile", f"r{i}"] for i in range(1500)] + [[f"x{i}", "vile" if i < 100 else "fine", f"y{i}"] for i in range(1500)]
+    assert "vile" in toxicity.evidence_of(docs, [1] * 1500 + [0] * 1500)
+
+
 def test_toxicity_finds_spans(spark, odd, empty):
     rows = toxic_rows(240)
     docs = docs_of(spark, [(i, t, "en", "s") for i, t, _ in rows])
