@@ -6,7 +6,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline
 from findra.llm import registry
-from test_operators import docs_of, near_copies, prose
+from test_llm_operators import docs_of, near_copies, prose
 
 
 def test_stages(spark, tmp_path):
