@@ -11,18 +11,23 @@ How it works:
   shingles. Linked nodes share a shingle of both prefixes. Prefixes are shuffled by shingle into index
   lists; each map task gathers the nodes of a shingle into one row first, so a shingle that many
   documents share never becomes many rows of one task. Lists of one node end there.
-* Positions skip list blocks: nodes carry their size class, and blocks of sizes that cannot link are
-  passed over. The shared prefix shingles of a pair are counted; with both prefix ends they bound the
-  pair's overlap, and only pairs that may reach the threshold go on to be verified on whole sets.
-* Answers are derived from those of a similar set: every list first links its nodes to one leader only (a
-  node with many common shingles, such as the original of many copies). Verified links make
-  components. A member's links inside its leader's component follow from the leader's, so what follows
-  leaves out lists within one component. While different components still share too many lists, turns
-  compare each list's nodes with a few of its largest component. The last pass enumerates all pairs of
-  different components; it is complete, which makes the components exact however the leaders fared.
+* Positions skip list blocks: an entry holds its set's size and how many of its shingles stand from this one
+  on. Where a list has the first shingle that two sets share, their overlap is at most the lesser of
+  these two counts; so a list sorted by size is read only where sizes and the entry's own position
+  let a link be, and entries that stand too far back are passed over. A linking pair passes at the
+  first shingle that it shares. Each distinct pair is then sifted by bit signatures of the sets, whose
+  bits tell odd counts of shingles: sets differ in at least as many shingles as signatures in bits.
+* Answers are derived from those of a similar set: every list first answers its leader only (a node with
+  many common shingles, such as the original of many copies). Whole sets decide these pairs, and each
+  node keeps its difference to the nearest leader. Links make components; lists within one component
+  are left out, as are pairs within one. What is left are pairs of different components. Two nodes
+  with one leader are answered from their differences alone, as these differ from each other
+  where the sets do; only pairs without a common leader are read as whole sets. This last pass is
+  complete, which makes the components exact however the leaders fared.
 
 Nodes are told apart by 52-bit hashes of sets with their size class and shingles by 64-bit hashes; equal
-hashes count as equal.
+hashes count as equal. Odds that any two of 10 million
+different sets have the same number are below 1 in 1,000.
 
 Defined results: null, empty and wordless texts have an empty set, size 0, and link with nothing; fewer
 words than five make one shingle; repeated rows are nodes with equal sets, each reported; documents of
@@ -42,31 +47,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, frame_of, mix64, shingle_hashes, stored, table, text_batches, whole_id, words_of
+from .common import batches_by_size, frame_of, shingle_hashes, stored, table, text_batches, whole_id, words_of
 from .components import components
 
 #: Hash buckets whose shingle counts order shingles.
 BUCKET_BITS = 18
 BUCKET_CHUNKS = 16
-#: Nodes in one stored row of an index list at most.
-LIST_ROW = 4096
 #: Bits of the filter that spares texts which no candidate pair names; its size does not grow.
 BLOOM_BITS = 1 << 22
 #: Characters of text a task turns into sets at once (a longer text alone).
 BATCH_CHARS = 3_000_000
-#: Size classes grow by this factor; sizes that may link are at most CLASS_GAP classes apart.
+#: Size classes, part of a node's number, grow by this factor.
 CLASS_BASE = 1.06
-CLASS_GAP = int(np.log(4 / 3) / np.log(CLASS_BASE)) + 1
+#: Sorted rows of index lists that a task looks at together, about.
+LIST_ROWS = 50_000
 
 _HASH_MASK = ((1 << 52) - 1) << 8
-LIST_SCHEMA = "kind int, key bigint, node bigint, nodes binary, doc_id bigint, row bigint, n int, p int, edge bigint"
-POSTING_SCHEMA = "key bigint, node bigint, more binary"
-PAIR_SCHEMA = "a bigint, b bigint, c bigint"
-#: Nodes of a list's largest component that the others are compared with in one turn.
-LEADERS = 4
-#: Turns go on while enumerating all pairs of different components would make more pairs a posting than this.
-PAIRS_A_POSTING = 1
-MAX_TURNS = 2
+#: A node in an index list: its number, its set's size, and its shingles from the list's shingle on.
+ENTRY = np.dtype([("x", "<i8"), ("n", "<i4"), ("q", "<i4")])
+POSTING_SCHEMA = "key bigint, node bigint, n int, q int, more binary"
+#: kind 0: an entry of a list; 1: a document's facts; 2: ``node`` may link with the leader ``other`` of a list.
+INDEX_SCHEMA = "kind int, key bigint, node bigint, other bigint, row bigint, n int, q int, sig binary"
+PAIR_SCHEMA = "a bigint, b bigint"
+ROW_PAIR_SCHEMA = "a bigint, b bigint, row_a bigint, row_b bigint"
+ANSWER_SCHEMA = "u bigint, v bigint, linked boolean, n int, differ binary"
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -86,6 +90,20 @@ def _size_class(n: int) -> int:
     return min(255, int(np.log(n) / np.log(CLASS_BASE)))
 
 
+def signature(h: np.ndarray) -> bytes:
+    """Bits by the low bits of hashes, set where an odd number of the set's fall; at least two bits a shingle."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Shingles that two sets differ in, at least. The longer signature is folded to the other's length."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 # --- common shingles -----------------------------------------------------------------------------
 
 
@@ -137,215 +155,169 @@ def commonness(counts: np.ndarray) -> np.ndarray:
 # --- index lists ---------------------------------------------------------------------------------
 
 
-def _grouped(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Postings with the nodes of each key in one row: key, least node, the other nodes' bytes or None."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.append(True, new)) if len(keys[0]) else np.empty(0, np.int64)
+
+
+def _grouped(keys: np.ndarray, entries: np.ndarray) -> pd.DataFrame:
+    """Postings with the entries of each key in one row: one in columns, the others as bytes."""
+    order = np.argsort(keys, kind="stable")
+    keys, entries = keys[order], entries[order]
+    starts = _starts(keys)
     ends = np.append(starts[1:], len(keys))
     more: list = [None] * len(starts)
     for i in np.flatnonzero(ends - starts > 1):
-        more[i] = b"L" + nodes[starts[i] + 1 : ends[i]].tobytes()
-    return keys[starts], nodes[starts], more
+        more[i] = entries[starts[i] + 1 : ends[i]].tobytes()
+    first = entries[starts]
+    return pd.DataFrame({"key": keys[starts], "node": first["x"], "n": first["n"], "q": first["q"], "more": pd.Series(more, dtype=object)})
 
 
 def _postings(batches: Iterator[pd.DataFrame], rank: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Prefix postings of each node once a task, and a row with each document's facts."""
+    """Prefix postings of each node once a task, and a row with each document's facts (``q`` -1)."""
     seen: set[int] = set()
     for pdf in batches:
         texts, ids = pdf["t"].tolist(), list(zip(pdf["i"].tolist(), pdf["known"].tolist(), pdf["row"].tolist(), strict=True))
         for lo, hi in batches_by_size(texts, BATCH_CHARS):
-            keys, nodes, facts = [], [], []
+            keys, entries, facts = [np.empty(0, np.int64)], [np.empty(0, ENTRY)], []
             for (i, known, row), t in zip(ids[lo:hi], texts[lo:hi], strict=True):
                 h = shingle_hashes(words_of(t))
                 n = len(h)
-                node = p = edge = 0
+                node = 0
                 if n:
                     r = rank[h >> np.uint64(64 - BUCKET_BITS)]
-                    k = np.sort((r.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
-                    p = n - (3 * n + 3) // 4 + 1
-                    edge = int(k[p - 1])
                     # The node number begins with how few common shingles the set has, so that the least of a list leads.
                     node = ((7 - int(7 * np.count_nonzero(r) / n)) << 60) | set_hash(h) | _size_class(n)
                     if node not in seen:
                         seen.add(node)
-                        keys.append(k[:p].astype(np.int64))
-                        nodes.append(np.full(p, node, np.int64))
-                spread = xxhash.xxh64_intdigest(f"{i} {n} {node}".encode()) >> 8
-                facts.append((spread, node, b"F" + struct.pack("<?qqiiq", known, i, row, n, p, edge)))
-            k, x, more = _grouped(np.concatenate(keys), np.concatenate(nodes)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64), [])
-            yield pd.DataFrame({"key": np.concatenate([k, [f[0] for f in facts]]).astype(np.int64), "node": np.concatenate([x, [f[1] for f in facts]]).astype(np.int64), "more": more + [f[2] for f in facts]})
-
-
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by ``key``, cut so that no key's rows are in two of them."""
-    held: list[pd.DataFrame] = []
+                        p = n - (3 * n + 3) // 4 + 1
+                        k = np.sort((r.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))[:p]
+                        e = np.empty(p, ENTRY)
+                        e["x"], e["n"], e["q"] = node, n, n - np.arange(p)
+                        keys.append(k.astype(np.int64))
+                        entries.append(e)
+                spread = xxhash.xxh64_intdigest(f"{i} {row} {node}".encode()) >> 8
+                facts.append((spread, node, n, -1, struct.pack("<?qq", known, i, row) + (signature(h) if n else b"")))
+            yield _grouped(np.concatenate(keys), np.concatenate(entries))
+            yield pd.DataFrame(facts, columns=["key", "node", "n", "q", "more"])
+
+
+def _groups(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key``, about ``least`` at a time, cut so that no key's rows are in two of them."""
+    held, size = [], 0
     for pdf in batches:
-        if not len(pdf):
+        held.append(pdf)
+        size += len(pdf)
+        if size < least:
             continue
-        keys = pdf["key"].to_numpy()
+        rows = pd.concat(held) if len(held) > 1 else pdf
+        keys = rows["key"].to_numpy()
         last = int(np.searchsorted(keys, keys[-1], side="left"))
         if last:
-            yield pd.concat([*held, pdf.iloc[:last]]) if held else pdf.iloc[:last]
-            held = [pdf.iloc[last:]]
-        elif held and held[-1]["key"].iat[0] != keys[0]:
-            yield pd.concat(held)
-            held = [pdf]
-        else:
-            held.append(pdf)
-    if held:
+            yield rows.iloc[:last]
+        held, size = [rows.iloc[last:]], len(rows) - last
+        if not last:
+            least = 2 * size  # a long list is not put together again for every batch
+    if size:
         yield pd.concat(held)
 
 
-def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Index lists of two nodes or more, in rows of at most ``LIST_ROW`` nodes that each begin with the leader; facts pass through."""
-    for pdf in _groups(batches):
-        keys, nodes, more = pdf["key"].to_numpy(), pdf["node"].to_numpy(), pdf["more"].tolist()
-        fact = np.array([m is not None and m[:1] == b"F" for m in more], bool)
-        rows = []
-        for i in np.flatnonzero(fact):
-            known, doc_id, row, n, p, edge = struct.unpack("<?qqiiq", more[i][1:])
-            rows.append((1, int(keys[i]), int(nodes[i]), None, doc_id if known else None, row, n, p, edge))
-        at = np.flatnonzero(~fact)
-        k = keys[at]
-        same = k[1:] == k[:-1]
-        alone = ~(np.append(same, False) | np.insert(same, 0, False)) if len(k) else np.empty(0, bool)
-        at = at[[not a or more[i] is not None for i, a in zip(at, alone, strict=True)]] if len(at) else at
-        start = 0
-        while start < len(at):
-            end = start + 1
-            while end < len(at) and keys[at[end]] == keys[at[start]]:
-                end += 1
-            parts = [nodes[at[start:end]], *[np.frombuffer(more[i], np.int64, offset=1) for i in at[start:end] if more[i] is not None]]
-            found = np.unique(np.concatenate(parts))
-            for lo in range(1, len(found), LIST_ROW - 1):
-                rows.append((0, int(keys[at[start]]), int(found[0]), np.concatenate([found[:1], found[lo : lo + LIST_ROW - 1]]).tobytes(), None, None, None, None, None))
-            start = end
-        yield frame_of(rows, LIST_SCHEMA)
-
-
-# --- pairs ---------------------------------------------------------------------------------------
-
-
-def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
-    """Pairs with how often each occurs."""
-    if not a:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "c": np.empty(0, np.int64)})
-    x, y = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-    return pd.DataFrame({"a": x[starts], "b": y[starts], "c": np.diff(np.append(starts, len(x)))})
-
-
-def _near(x: np.ndarray, y) -> np.ndarray:
-    """Whether the size classes of nodes may link."""
-    return np.abs((x & 255) - (y & 255)) <= CLASS_GAP
-
-
-def _to_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        a, b = [], []
-        for raw in pdf["nodes"]:
-            x = np.frombuffer(raw, np.int64)
-            rest = x[1:][_near(x[1:], x[0])]
-            a.append(np.full(len(rest), x[0]))
-            b.append(rest)
-        yield _counted(a, b)
-
-
-#: A node in a packed row: its number, set size, and its shingles in lists or behind its prefix.
-ENTRY = np.dtype([("x", "<i8"), ("n", "<i4"), ("s", "<i4")])
-
-
-def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Entries and components of each index list that has several components; lists within one are passed over."""
-    for pdf in _groups(batches):
-        keys, comps, packed = pdf["key"].to_numpy(), pdf["comp"].to_numpy(), pdf["entries"].tolist()
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        ends = np.append(starts[1:], len(keys))
-        mixed = np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)
-        for s, e in zip(starts[mixed], ends[mixed], strict=True):
-            parts = [np.frombuffer(packed[i], ENTRY) for i in range(s, e)]
-            entries = np.concatenate(parts)
-            c = np.repeat(comps[s:e], [len(p) for p in parts])
-            first = np.unique(entries["x"], return_index=True)[1]
-            yield entries[first], c[first]
-
-
-def _fits(one: np.void, others: np.ndarray) -> np.ndarray:
-    """Whether sizes and shared shingles let a node link with others: overlap is 3/7 of both sizes at least.
-
-    The overlap is at most the larger set's ``s``: if its prefix ends first, all it shares up to there is
-    counted in ``s``; if the smaller set's does, that set has no more shingles behind its prefix than the
-    larger one has. The smaller set's ``s`` is no bound: what it shares behind the larger one's prefix
-    may stand in no list.
-    """
-    n, own = others["n"].astype(np.int64), int(one["n"])
-    s = np.where(n > own, others["s"], np.where(n < own, one["s"], np.minimum(others["s"], one["s"]))).astype(np.int64)
-    return (7 * s >= 3 * (n + own)) & _near(others["x"], one["x"])
-
+def may_link(n: np.ndarray, q: np.ndarray, n2: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``n, n2`` may link if none of their shared shingles stands before the last ``q, q2``: an overlap of 3/7 of both sizes."""
+    return 7 * np.minimum(q, q2).astype(np.int64) >= 3 * (n.astype(np.int64) + n2)
 
-def _to_largest(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
-    """Pairs of each list's nodes with a few nodes of its largest component, chosen by this turn's hash.
 
-    The last row (``a`` and ``b`` -1) counts the pairs that enumerating all different components would make.
-    """
-    a, b, size, crossing = [], [], 0, 0
-    for x, c in _mixed(batches):
-        names, place, counts = np.unique(c, return_inverse=True, return_counts=True)
-        crossing += (len(x) ** 2 - int((counts.astype(np.int64) ** 2).sum())) // 2
-        inside = place == counts.argmax()
-        own, rest = x[inside], x[~inside]
-        if len(own) > LEADERS:
-            own = own[np.argpartition(mix64((own["x"] ^ np.int64(turn * 0x9E3779B9)).astype(np.uint64)), LEADERS)[:LEADERS]]
-        for leader in own:
-            y = rest["x"][_fits(leader, rest)]
-            a.append(np.full(len(y), leader["x"]))
-            b.append(y)
-            size += len(y)
-        if size > 1_000_000:
-            yield _counted(a, b)
-            a, b, size = [], [], 0
-    yield _counted(a, b)
-    yield pd.DataFrame({"a": [-1], "b": [-1], "c": [crossing]})
+def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of index lists of two nodes or more, pairs of their leaders, and facts."""
+    for pdf in _groups(batches, LIST_ROWS):
+        fact = pdf["q"].to_numpy() < 0
+        facts, rows = pdf[fact], []
+        for key, node, n, raw in zip(facts["key"].tolist(), facts["node"].tolist(), facts["n"].tolist(), facts["more"].tolist(), strict=True):
+            known, doc_id, row = struct.unpack_from("<?qq", raw)
+            rows.append((1, key, node, doc_id if known else None, row, n, 0, raw[struct.calcsize("<?qq") :]))
+        yield frame_of(rows, INDEX_SCHEMA)
+        lists = pdf[~fact]
+        own = np.empty(len(lists), ENTRY)
+        own["x"], own["n"], own["q"] = lists["node"].to_numpy(), lists["n"].to_numpy(), lists["q"].to_numpy()
+        keys = lists["key"].to_numpy(np.int64)
+        packed = lists["more"].tolist()
+        at = np.flatnonzero(lists["more"].notna().to_numpy())
+        more = [np.frombuffer(packed[i], ENTRY) for i in at]
+        keys = np.concatenate([keys, np.repeat(keys[at], [len(m) for m in more])])
+        entries = np.concatenate([own, *more])
+        order = np.lexsort((-entries["q"], entries["x"], keys))
+        keys, entries = keys[order], entries[order]
+        once = _starts(keys, entries["x"])  # the same node from several tasks
+        keys, entries = keys[once], entries[once]
+        starts = _starts(keys)
+        size = np.diff(np.append(starts, len(keys)))
+        several = np.repeat(size > 1, size)
+        leads = entries[np.repeat(starts, size)][several]
+        keys, entries = keys[several], entries[several]
+        yield pd.DataFrame({"kind": 0, "key": keys, "node": entries["x"], "other": None, "row": None, "n": entries["n"], "q": entries["q"], "sig": None})
+        ok = may_link(leads["n"], leads["q"], entries["n"], entries["q"]) & (leads["x"] != entries["x"])
+        pairs = np.unique(np.stack([leads["x"][ok], entries["x"][ok]], axis=1), axis=0)
+        yield pd.DataFrame({"kind": 2, "key": 0, "node": pairs[:, 1], "other": pairs[:, 0], "row": None, "n": 0, "q": 0, "sig": None})
+
+
+def across(entries: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list's nodes in different components that may link; its leader's are left out."""
+    n, q = entries["n"].astype(np.int64), entries["q"].astype(np.int64)
+    # The least size a partner can have is 3/4 of one's own; who stands too far back for that has none.
+    fit = (7 * q >= 3 * (n + np.maximum(n.min(), -(-3 * n // 4)))) & (entries["x"] != entries["x"].min())
+    order = np.flatnonzero(fit)[np.argsort(n[fit], kind="stable")]
+    x, n, q, comp = entries["x"][order], n[order], q[order], comp[order]
+    # A partner at least as large has at most 4/3 of one's size, and no more than one's own position allows.
+    stop = np.searchsorted(n, np.minimum(4 * n // 3, (7 * q - 3 * n) // 3), side="right")
+    room = 7 * q - 3 * n
+    for i in np.flatnonzero(stop > np.arange(len(x)) + 1):
+        block = slice(i + 1, stop[i])
+        y = x[block][(room[block] >= 3 * n[i]) & (comp[block] != comp[i])]
+        if len(y):
+            yield np.minimum(y, x[i]), np.maximum(y, x[i])
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each list's nodes that are in different components, by blocks of near sizes."""
+    """Pairs to be answered of the lists that have several components, once for each batch."""
+
+    def distinct(a: list, b: list) -> pd.DataFrame:
+        pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])], axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
     a, b, size = [], [], 0
-    for x, c in _mixed(batches):
-        order = np.argsort(x["x"] & 255, kind="stable")
-        x, c = x[order], c[order]
-        classes = x["x"] & 255
-        reach = np.searchsorted(classes, classes + CLASS_GAP, side="right")
-        for i in range(len(x) - 1):
-            block = x[i + 1 : reach[i]]
-            y = block["x"][(c[i + 1 : reach[i]] != c[i]) & _fits(x[i], block)]
-            if len(y):
-                a.append(np.minimum(y, x["x"][i]))
-                b.append(np.maximum(y, x["x"][i]))
-                size += len(y)
-            if size > 1_000_000:
-                yield _counted(a, b)
-                a, b, size = [], [], 0
-    yield _counted(a, b)
-
-
-def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Counted pairs whose overlap bound reaches the threshold, with the rows that stand for them.
-
-    All shared shingles up to the smaller prefix end are counted; beyond it the set of that end has
-    ``n - p`` shingles left.
-    """
-    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
+    for pdf in batches:
+        for packed in pdf["entries"]:
+            rows = np.asarray(packed, np.int64).reshape(-1, 4)
+            entries = np.empty(len(rows), ENTRY)
+            entries["x"], entries["n"], entries["q"] = rows[:, 0], rows[:, 2], rows[:, 3]
+            for u, v in across(entries, rows[:, 1]):
+                a.append(u)
+                b.append(v)
+                size += len(u)
+                if size > 1_000_000:
+                    yield distinct(a, b)
+                    a, b, size = [], [], 0
+    yield distinct(a, b)
+
+
+# --- answers -------------------------------------------------------------------------------------
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame, for_leaders: bool) -> DataFrame:
+    """Pairs ``a, b`` whose signatures let them link, with the rows that stand for them; for leaders, those that may differ in half of ``b``."""
     for side in ("a", "b"):
-        of = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("row", "n", "p", "edge")])
-        pairs = pairs.join(of, side)
-    left = F.when(F.col("edge_a") < F.col("edge_b"), F.col("n_a") - F.col("p_a")).when(F.col("edge_a") > F.col("edge_b"), F.col("n_b") - F.col("p_b")).otherwise(F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")))
-    both = (F.col("n_a") + F.col("n_b")).cast("bigint")
-    fits = (F.greatest("n_a", "n_b").cast("bigint") * 3 <= F.least("n_a", "n_b").cast("bigint") * 4) & ((F.col("c") + left) * 7 >= both * 3)
-    return pairs.where(fits).select("a", "b", "row_a", "row_b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("row", "n", "sig")]), side)
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            apart = np.array([least_apart(x, y) for x, y in zip(pdf["sig_a"], pdf["sig_b"], strict=True)], np.int64)
+            n_a, n_b = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
+            yield pdf[2 * apart <= n_b if for_leaders else 7 * apart <= n_a + n_b][["a", "b", "row_a", "row_b"]]
+
+    return stored(nodes.sparkSession, pairs.mapInPandas(sift, ROW_PAIR_SCHEMA), "pairs")
 
 
 def _named(spark: SparkSession, ids: DataFrame) -> Column:
@@ -373,7 +345,10 @@ def _row(doc_id: str, text: str) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, lone: bool) -> DataFrame:
-    """The pairs of nodes ``u, v`` whose whole sets link; with ``lone`` some nodes have rows with null ids only."""
+    """Pairs of nodes ``u, v`` answered from their whole sets: ``linked``, and where it is short, ``v``'s difference to ``u``.
+
+    With ``lone`` some nodes have rows with null ids only.
+    """
     spark = docs.sparkSession
     named = _named(spark, pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
     rows = docs.select("i", "t", _row("i", "t").alias("row"))
@@ -391,13 +366,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, lone: bool) -> DataFrame:
                     held = {"text": ta, "set": shingle_hashes(words_of(ta))}
                 x, y = held["set"], shingle_hashes(words_of(tb))
                 # Hashes of rows may be equal; the set must be the node's.
-                if set_hash(x) == a & _HASH_MASK and set_hash(y) == b & _HASH_MASK and links(x, y):
-                    rows.append((a, b))
-            yield pd.DataFrame(rows, columns=["u", "v"], dtype=np.int64)
+                if set_hash(x) == a & _HASH_MASK and set_hash(y) == b & _HASH_MASK:
+                    differ = np.setxor1d(x, y, assume_unique=True)
+                    near = 2 * len(differ) <= len(y)
+                    rows.append((a, b, links(x, y), len(y), differ.tobytes() if near else None))
+            yield frame_of(rows, ANSWER_SCHEMA)
 
     joined = pairs.join(texts.select(F.col("row").alias("row_b"), F.col("t").alias("tb")), "row_b")
     joined = joined.join(texts.select(F.col("row").alias("row_a"), F.col("t").alias("ta")), "row_a")
-    return joined.select("a", "b", "ta", "tb").mapInPandas(test, "u bigint, v bigint").distinct()
+    return stored(spark, joined.select("a", "b", "ta", "tb").mapInPandas(test, ANSWER_SCHEMA), "answers")
+
+
+def links_by_difference(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """The link test of two sets from their sizes and their differences to a third set: these differ where the sets do."""
+    apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+    return 7 * apart <= n_a + n_b
+
+
+def _derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pairs with ``linked``: derived from a common leader's answers, null where there is none."""
+    near = answers.where(F.col("differ").isNotNull())
+    nearest = near.groupBy("v").agg(F.min(F.struct(F.octet_length("differ").alias("far"), "u", "n", "differ")).alias("to"))
+    for side in ("a", "b"):
+        pairs = pairs.join(nearest.select(F.col("v").alias(side), *[F.col(f"to.{c}").alias(f"{c}_{side}") for c in ("u", "n", "differ")]), side, "left")
+
+    def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [links_by_difference(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m) for x, n, y, m in pdf[["differ_a", "n_a", "differ_b", "n_b"]].itertuples(index=False)]
+            yield pdf[["a", "b", "row_a", "row_b"]].assign(linked=got)
+
+    common = F.col("u_a") == F.col("u_b")
+    told = pairs.where(common).mapInPandas(derive, f"{ROW_PAIR_SCHEMA}, linked boolean")
+    return told.unionByName(pairs.where(~F.coalesce(common, F.lit(False))).select("a", "b", "row_a", "row_b", F.lit(None).cast("boolean").alias("linked")))
 
 
 # --- the operator --------------------------------------------------------------------------------
@@ -412,63 +412,40 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     whole = docs.select(_row("i", "t").alias("row"), *whole_id("i"), "t")
     postings = whole.mapInPandas(lambda batches: _postings(batches, rank.value), POSTING_SCHEMA)
-    index = stored(spark, postings.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_lists, LIST_SCHEMA), "lists")
-    facts, lists = index.where("kind = 1"), index.where("kind = 0")
-    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), *[F.min(c).alias(c) for c in ("n", "p", "edge")])
+    index = stored(spark, postings.repartition("key").sortWithinPartitions("key").mapInPandas(_lists, INDEX_SCHEMA), "lists")
+    facts, entries = index.where("kind = 1").withColumnRenamed("other", "doc_id"), index.where("kind = 0")
+    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(spark, nodes.select("*", F.col("first.row").alias("row")), "nodes")
     lone = bool(nodes.where("first.lone").limit(1).count())
 
-    # What each task has of one component in a list goes to the list's task as one row.
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, comps = pdf["key"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
-            entries = np.empty(len(pdf), ENTRY)
-            for to, of in (("x", "node"), ("n", "n"), ("s", "s")):
-                entries[to] = pdf[of].to_numpy()
-            order = np.lexsort((entries["x"], comps, keys))
-            keys, comps, entries = keys[order], comps[order], entries[order]
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])])) if len(keys) else np.empty(0, np.int64)
-            ends = np.append(starts[1:], len(keys))
-            yield pd.DataFrame({"key": keys[starts], "comp": comps[starts], "entries": [entries[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]})
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            each = [np.frombuffer(raw, np.int64) for raw in pdf["nodes"]]
-            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(np.int64), [len(x) for x in each]), "node": np.concatenate([np.empty(0, np.int64), *each])})
-
-    # Shingles in lists or behind the prefix: all that a node can share with one that is not larger.
-    unpacked = lists.select("key", "nodes").mapInPandas(unpack, "key bigint, node bigint")
-    shared = unpacked.groupBy("node").agg(F.count_distinct("key").alias("k")).join(nodes, "node")
-    shared = shared.select("node", "n", (F.col("n") - F.col("p") + F.col("k")).cast("int").alias("s")).where(F.col("s") * 4 >= F.col("n").cast("bigint") * 3)
-    shared = stored(spark, shared, "shared")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        return stored(spark, _verified(stored(spark, _may_link(pairs, nodes), "pairs"), docs, lone), "links")
-
-    links_found = checked(lists.select("nodes").mapInPandas(_to_leaders, PAIR_SCHEMA))
-    linear = PAIRS_A_POSTING * (lists.agg(F.sum(F.octet_length("nodes"))).first()[0] or 0) // 8
-    for turn in range(MAX_TURNS + 1):
-        labels = components(spark, links_found)
-        labelled = shared.join(labels, "node", "left").select("node", "n", "s", F.coalesce("comp", "node").alias("comp"))
-        members = unpacked.join(labelled, "node").select("key", "comp", "node", "n", "s")
-        members = stored(spark, members.mapInPandas(pack, "key bigint, comp bigint, entries binary"), "members")
-        dealt = members.repartition("key").sortWithinPartitions("key", "comp")
-        surveyed = stored(spark, dealt.mapInPandas(lambda batches, turn=turn: _to_largest(batches, turn), PAIR_SCHEMA), "turn")
-        if turn == MAX_TURNS or (surveyed.where("a = -1").agg(F.sum("c")).first()[0] or 0) <= linear:
-            break
-        new = checked(surveyed.where("a <> -1"))
-        if not new.limit(1).count():
-            break
-        links_found = links_found.unionByName(new)
-    second = checked(dealt.mapInPandas(_across, PAIR_SCHEMA))
+    def labelled(links_found: DataFrame) -> DataFrame:
+        return components(spark, links_found.select("u", "v"))
+
+    led = index.where("kind = 2").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+    answers = _verified(_sifted(led, nodes, True), docs, lone)
+    links_found = answers.where("linked").select("u", "v")
+    labels = labelled(links_found)
+
+    # Lists of several components; each task's entries of a list go on as one row.
+    members = entries.select("key", "node", "n", "q").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    packed = F.collect_list(F.array("node", "comp", F.col("n").cast("bigint"), F.col("q").cast("bigint")))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.flatten(packed).alias("entries")).where("lo <> hi")
+    pairs = _sifted(mixed.select("entries").mapInPandas(_across, PAIR_SCHEMA).distinct(), nodes, False)
+    derived = stored(spark, _derived(pairs, answers), "derived")
+    second = derived.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if derived.where("linked IS NULL").limit(1).count():
+        rest = _verified(derived.where("linked IS NULL").drop("linked"), docs, lone)
+        second = second.unionByName(rest.where("linked").select("u", "v"))
     if second.limit(1).count():
-        labels = components(spark, links_found.unionByName(second))
+        labels = labelled(links_found.unionByName(second))
 
     of = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
     least = of.groupBy("comp").agg(F.min("first").alias("first"))
     of = of.select("node", "comp").join(least, "comp").select("node", F.col("first.doc_id").alias("component"), F.col("first.row").alias("kept"))
     of = stored(spark, of, "components")
-    return facts.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left").drop("node")
+    worded = facts.where("n > 0").join(of, "node").select("doc_id", "row", "n", "component", "kept")
+    none = F.lit(None).cast("bigint")
+    return worded.unionByName(facts.where("n = 0").select("doc_id", "row", "n", none.alias("component"), none.alias("kept")))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
