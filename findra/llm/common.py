@@ -147,11 +147,11 @@ def shingle_hashes(words: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(mix64(h))
 
 
-def batches_by_size(texts: list, limit: int):
+def batches_by_size(texts: list, limit: int, size_of=lambda t: len(t) if t is not None else 0):
     """Index ranges of consecutive texts with about ``limit`` characters each (one text at least)."""
     start = size = 0
     for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+        n = size_of(t)
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0

@@ -10,18 +10,21 @@ that holds checksums stays strong. The index is a Parquet table with a row for e
 bucket, seq, key, offset, length, first_id, n_ids`` (``first_id``: ids before the record in its file).
 A reader that shuffles takes any subset of index rows in any order and seeks straight to them.
 
-Tokenising: ids of a text are the concatenation of the ids of its white-space separated chunks (the
-vocabulary drops white space and none of its normalisation reaches across it), so each worker keeps a
-bounded cache from chunk to ids and hands only new chunks to the ``tokenizers`` library.
-
-Defined results: a null or empty text is the end id alone; rows with a null key come first; rows with
-equal keys are ordered by text and all kept; an empty table gives no files and an empty index; other
+Tokenising: where the vocabulary drops white space, splits at it and lower-cases (``SPLITS`` and
+``NORMALIZES`` say how; the file is compared with them), ids of a text are the concatenation of the ids
+of its white-space separated chunks. So Arrow finds the distinct chunks of a batch, each worker keeps a
+bounded cache from chunk to ids, hands only new chunks to the ``tokenizers`` library, and puts the ids
+of all texts together in one gather. Texts of any other vocabulary are encoded whole.
+
+Defined results: a null or empty text is the end id alone; a very long text is one record and is encoded
+by itself; rows with a null key come first; rows with equal keys are ordered by text and all kept; an empty table gives no files and an empty index; other
 columns are ignored. A task writes under a temporary name and moves the finished file over the final
 one, so a repeated or speculative attempt is harmless.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import uuid
@@ -30,15 +33,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame_of, range_bounds, range_bucket, shared_dir, text_batches, whole_id
+from .common import batches_by_size, frame_of, range_bounds, range_bucket, shared_dir, text_batches
 
 END_ID = 1
 #: Chunks in each of a worker's two cache generations at most; about 180 bytes each.
 CACHE_CHUNKS = 500_000
 ROWS_PER_FILE = 4_000
+#: Characters of text that are encoded at once (a longer text alone).
+BATCH_CHARS = 8_000_000
+
+# The normaliser and pre-tokeniser of vocabularies whose chunks can be encoded one by one.
+NORMALIZES = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 INDEX_SCHEMA = "file string, bucket int, seq int, key bigint, offset bigint, length bigint, first_id bigint, n_ids bigint"
 READ_SCHEMA = "key bigint, bucket int, first_id bigint, n_ids bigint, ids_crc32 bigint"
@@ -50,11 +67,10 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(key: int | None, ids: bytes) -> bytes:
-    """One record; ``ids`` are little-endian unsigned 32-bit integers, stored in 2 bytes each where all fit."""
-    a = np.frombuffer(ids, "<u4")
-    narrow = not len(a) or a.max() < 1 << 16
-    payload = struct.pack("<BBqI", key is not None, 2 if narrow else 4, key or 0, len(a)) + (a.astype("<u2").tobytes() if narrow else ids)
+def frame(key: int | None, ids: np.ndarray) -> bytes:
+    """One record; ``ids`` are unsigned 32-bit integers, stored in 2 bytes each where all fit."""
+    narrow = not len(ids) or ids.max() < 1 << 16
+    payload = struct.pack("<BBqI", key is not None, 2 if narrow else 4, key or 0, len(ids)) + ids.astype("<u2" if narrow else "<u4").tobytes()
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
 
@@ -80,10 +96,10 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """Encodes texts with a ``tokenizers`` vocabulary, each distinct chunk once.
+    """Encodes texts with a ``tokenizers`` vocabulary, each distinct chunk once where chunks can be encoded one by one.
 
-    Only for vocabularies that drop white space and split at it. The cache has two generations of
-    ``cache`` chunks: when the young one is full it becomes the old one, and chunks met again move back.
+    The cache has two generations of ``cache`` chunks: when the young one is full it becomes the old one,
+    and chunks met again move back.
     """
 
     def __init__(self, path: str, cache: int = CACHE_CHUNKS):
@@ -91,61 +107,82 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         alphabet = _byte_alphabet()
         self.to_bytes = lambda w: "".join([alphabet[b] for b in w.encode()])
-
-    def _encode_new(self, chunks: list[bytes]) -> None:
+        spec = json.loads(self.tokenizer.to_str())
+        # Added tokens are looked for before anything is split; chunks with "<" are encoded whole.
+        added = all(t["content"].startswith("<") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        model = spec["model"]
+        plain = model["type"] == "BPE" and model["end_of_word_suffix"] and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("continuing_subword_prefix"))
+        self.by_chunk = bool(added and plain and spec["normalizer"] == NORMALIZES and spec["pre_tokenizer"] == SPLITS)
+
+    def _encode_new(self, chunks: list[str]) -> None:
         """Puts the ids of chunks that no generation has into the young one."""
         tokenize, young, old = self.tokenizer.model.tokenize, self.young, self.old
-        whole: dict[bytes, str] = {}
+        whole: dict[str, None] = {}
         parts = []
         for c in chunks:
             # Core and trailing punctuation are separate pre-tokens if a letter ends the core;
             # "<" may begin a special token, whose letters' case matters.
-            stem = c.rstrip(b".,;:!?")
-            core = stem.decode("utf-8", "surrogatepass")
-            if b"<" in c or not core or not core[-1].isalpha():
+            core = c.rstrip(".,;:!?")
+            if "<" in c or not core or not core[-1].isalpha():
                 if c not in young:
-                    whole[c] = c.decode("utf-8", "surrogatepass")
+                    whole[c] = None
                 continue
-            tail = c[len(stem) :]
-            key = stem
-            if core.isascii():
-                core, key = core.lower(), stem.lower()
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                elif core.isalpha() and (core.isascii() or (core == core.lower() and unicodedata.is_normalized("NFC", core))):
-                    ids = [t.id for t in tokenize(core if core.isascii() else self.to_bytes(core))]
-                    young[key] = struct.pack(f"<{len(ids)}I", *ids)
+            tail = c[len(core) :]
+            plain = core.isascii()
+            if plain:
+                core = core.lower()
+            if core not in young:
+                if core in old:
+                    young[core] = old[core]
+                elif core.isalpha() and (plain or (core == core.lower() and unicodedata.is_normalized("NFC", core))):
+                    ids = [t.id for t in tokenize(core if plain else self.to_bytes(core))]
+                    young[core] = struct.pack(f"<{len(ids)}I", *ids)
                 else:
-                    whole[key] = core
+                    whole[core] = None
             if tail and tail not in young:
-                whole[tail] = tail.decode()
-            if key != c:
-                parts.append((c, key, tail))
-        for c, e in zip(whole, self.tokenizer.encode_batch_fast([*whole.values()], add_special_tokens=False), strict=True):
+                whole[tail] = None
+            if core != c:
+                parts.append((c, core, tail))
+        for c, e in zip(whole, self.tokenizer.encode_batch_fast([*whole], add_special_tokens=False), strict=True):
             young[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for c, key, tail in parts:
-            young[c] = young[key] + young[tail] if tail else young[key]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        docs = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        need = set().union(*docs)
-        new = need.difference(self.young)
+        for c, core, tail in parts:
+            young[c] = young[core] + young[tail] if tail else young[core]
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of some distinct chunks."""
+        new = [c for c in chunks if c not in self.young]
         if len(self.young) + len(new) > self.limit:
             self.old, self.young = self.young, {}
-            new = need
+            new = chunks
         if self.old:
-            known = new.intersection(self.old)
-            self.young.update((c, self.old[c]) for c in known)
-            new = new - known
-        self._encode_new([*new])
+            known, old = [c for c in new if c in self.old], self.old
+            self.young.update((c, old[c]) for c in known)
+            new = [c for c in new if c not in self.young]
+        self._encode_new(new)
         young = self.young
-        return [b"".join([young[c] for c in d]) for d in docs]
+        return [young[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (with the end of the last)."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *got]), np.cumsum([0, *map(len, got)])
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        of = coded.indices.to_numpy()
+        each = self._ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(each), "<u4")
+        n = size[of]
+        ends = np.append(0, np.cumsum(n))
+        # Where chunk k's ids go, less where they come from, is the same for all of them.
+        return ids[np.arange(ends[-1]) + np.repeat(begins[of] - ends[:-1], n)], ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -172,9 +209,9 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     bounds = range_bounds(docs, "key", rows_per_file)
-    end = struct.pack("<I", end_id)
+    end = np.uint32(end_id)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = out = None
         bucket = seq = offset = first = 0
         names = ("", "")
@@ -183,11 +220,12 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
             out.close()
             fs.move(*names)
 
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                for k, known, b, ids in zip(part["key"].tolist(), part["known"].tolist(), part["bucket"].tolist(), encoder(vocabulary).encode(part["text"].tolist()), strict=True):
+            sizes, keys = pc.utf8_length(batch["text"]).to_pylist(), list(zip(batch["key"].to_pylist(), batch["bucket"].to_pylist(), strict=True))
+            for lo, hi in batches_by_size(sizes, BATCH_CHARS, lambda n: n or 0):
+                all_ids, at = encoder(vocabulary).encode(batch["text"].slice(lo, hi - lo))
+                for i, (k, b) in enumerate(keys[lo:hi]):
                     if out is None or b != bucket:
                         if out is not None:
                             close()
@@ -197,17 +235,17 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
                         final = f"{base}/part-{bucket:06d}.rec"
                         names = (f"{base}/_{uuid.uuid4().hex}.tmp", final)
                         out = fs.open_output_stream(names[0])
-                    ids += end
-                    data = frame(k if known else None, ids)
+                    data = frame(k, np.append(all_ids[at[i] : at[i + 1]], end))
                     out.write(data)
-                    rows.append((f"{out_dir}/part-{bucket:06d}.rec", bucket, seq, k if known else None, offset, len(data), first, len(ids) // 4))
-                    seq, offset, first = seq + 1, offset + len(data), first + len(ids) // 4
-            yield frame_of(rows, INDEX_SCHEMA)
+                    n = int(at[i + 1] - at[i]) + 1
+                    rows.append((f"{out_dir}/part-{bucket:06d}.rec", bucket, seq, k, offset, len(data), first, n))
+                    seq, offset, first = seq + 1, offset + len(data), first + n
+            yield pa.RecordBatch.from_pandas(frame_of(rows, INDEX_SCHEMA), preserve_index=False)
         if out is not None:
             close()
 
-    ordered = docs.withColumn("bucket", range_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "text").select("bucket", *whole_id("key"), "text")
-    ordered.mapInPandas(write, INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
+    ordered = docs.withColumn("bucket", range_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "text").select("bucket", "key", "text")
+    ordered.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index")
 
 
