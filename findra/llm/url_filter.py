@@ -24,6 +24,7 @@ DIM = 4096
 GRAMS = (3, 4, 5)
 STEPS = 30
 RATE = 6.0
+MOMENTUM = 0.9
 DECAY = 2e-3
 THRESHOLD = 0.5
 
@@ -39,53 +40,63 @@ RULES = {
 #: The labelled URL table: hosts and paths as filter lists and ordinary sites have them.
 LABELLED_URLS = {
     "block": """
-        https://spam-farm.test/en/12
         http://www.spam-offers.test/win?id=3
         https://spam-links.test/fr/404
-        https://casino-win.test/en/21
+        https://link-farm.test/seo/cheap
+        http://seo-spam.test/backlinks/buy
+        https://content-farm.test/en/8
+        https://comment-spam.test/post/1
         http://m.online-casino.test/slots/free
         https://royal-casino.test/de/9
+        https://casino-bonus.test/free-spins
+        http://www.vegas-casino.test/jackpot
         https://www.win-big.test/jackpot
-        https://free-bets.test/en/6
+        https://win-prizes.test/claim
+        https://you-win.test/es/lottery
+        https://lotto-winner.test/fr/12
+        https://big-wins.test/en/4
         http://sports-bets.test/es/44
         https://best-betting.test/odds
+        https://bets-online.test/en/7
+        https://football-bet.test/tips
         https://poker-free.test/play
-        https://adult-x.test/en/1
+        https://free-slots.test/spin
+        https://free-spins.test/en/21
+        https://free-money.test/fast
+        https://free-iphone.test/de/2
         http://www.adult-cams.test/live
+        https://adult-dating.test/en/9
+        https://adult-chat.test/es/5
+        https://hot-adult.test/fr/31
         https://xxx-videos.test/fr/3
+        https://free-xxx.test/en/3
         https://porn-tube.test/watch
-        https://cheap-pills.test/en/5
+        https://sex-cams.test/live
         http://pills-online.test/buy/cheap
+        https://diet-pills.test/order
+        https://best-pills.test/en/6
         https://cheap-viagra.test/order
         https://blog.cheap-meds.test/de/71
-        https://ads-track.test/en/8
+        https://cheap-rolex.test/sale
+        https://cheap-essays.test/en/8
+        https://pharmacy-cheap.test/es/1
         http://ads-server.test/click?u=9
+        https://pop-ads.test/en/90
+        https://ads-click.test/fr/8
+        https://banner-ads.test/fr/90
         https://www.ad-tracker.test/pixel
         https://track-clicks.test/es/2
-        https://banner-ads.test/fr/90
+        https://user-track.test/pixel.gif
+        https://click-track.test/en/55
         https://malware-drop.test/download.exe
         http://phishing-login.test/verify
         https://warez-crack.test/keygen
-        https://free-money.test/fast
         https://payday-loans.test/apply
+        https://fast-loans.test/en/17
         https://replica-watches.test/sale
+        https://fake-bags.test/buy
     """,
     "allow": """
-        https://therin.test/en/12
-        http://www.thonan.test/en/404
-        https://m.ththing.test/en/21
-        https://blog.ationer.test/en/9.html
-        https://shop.ouveau.test/fr/6
-        http://chement.test/fr/44
-        https://www.eauxtion.test/fr/3?page=2
-        https://blog.quement.test/fr/90
-        https://einver.test/de/1
-        http://m.schung.test/de/71
-        https://lichkeit.test/de/8#top
-        https://www.beraus.test/de/5
-        https://cionado.test/es/2
-        http://blog.menteos.test/es/33
-        https://www.queria.test/es/15
         https://news.test/world/2024/05/story.html
         https://www.university.test/research/papers
         https://docs.library.test/en/stable/index.html
@@ -101,11 +112,46 @@ LABELLED_URLS = {
         https://health.test/advice/sleep
         https://travel.test/guides/lisbon
         https://radio.test/programmes
-        http://tionsh.test/en/853/
-        https://tionble.test/en/276
-        https://thand.test/en/777
-        https://andere.test/de/612
-        https://stermenth.test/en/455
+        https://another.test/en/12
+        http://www.thinking.test/en/404
+        https://m.thursday.test/en/21
+        https://blog.nation.test/en/9.html
+        https://station.test/en/853/
+        https://thanks.test/en/777
+        https://northern.test/en/276
+        https://m.mention.test/en/61?page=2
+        https://shop.nouveau.test/fr/6
+        http://chemin.test/fr/44
+        https://www.bateaux.test/fr/3?page=2
+        https://blog.quelquun.test/fr/90
+        https://toujours.test/fr/17.html
+        https://maison.test/fr/1203#top
+        https://verein.test/de/1
+        http://m.schule.test/de/71
+        https://wirklich.test/de/8#top
+        https://www.bericht.test/de/5
+        https://anderswo.test/de/612
+        https://garten.test/de/33/
+        https://ciudad.test/es/2
+        http://blog.mentes.test/es/33
+        https://www.querido.test/es/15
+        https://historia.test/es/404
+        https://camino.test/es/9.html
+        https://weltreise.test/de/480?utm_source=feed
+        https://bookshop.test/en/78
+        https://theatre.test/en/431
+        https://orchestra.test/en/66
+        https://www.mountains.test/en/9027#top
+        http://harbour.test/en/184?page=2&ref=x
+        https://blog.physics.test/en/3896
+        https://m.village.test/fr/7
+        https://shop.ceramics.test/de/19
+        https://bread-and-salt.test/en/5
+        https://well-being.test/en/81
+        https://kinder-garten.test/de/3
+        https://bois-vert.test/fr/72
+        https://mar-azul.test/es/6
+        https://old-town.test/en/2112/
     """,
 }
 
@@ -161,19 +207,20 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 
 def train(examples: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
-    """Weights and bias by full-batch gradient descent over ``url, label`` (a small table)."""
+    """Weights and bias by full-batch gradient descent with momentum over ``url, label`` (a small table)."""
     host, path = host_and_path(F.col("url"))
     rows = examples.select(F.col("label").cast("double").alias("y"), grams_of(host, path).alias("grams")).coalesce(1).cache()
     n = rows.count()
-    weights, bias = [0.0] * DIM, 0.0
+    weights, bias, speed = [0.0] * DIM, 0.0, [0.0] * (DIM + 1)
     for _ in range(steps if n else 0):
         error = probability(_margin(F.col("grams"), weights, bias)) - F.col("y")
         each = rows.select(error.alias("e"), F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double")).alias("norm"), F.explode(F.concat(F.array(F.lit(-1)), "grams")).alias("g"))
         for g, d in each.groupBy("g").agg(F.sum(F.when(F.col("g") < 0, F.col("e")).otherwise(F.col("e") / F.col("norm")))).collect():  # DIM + 1 rows at most
-            if g < 0:
-                bias -= RATE * d / n
+            speed[g] = MOMENTUM * speed[g] - RATE * (d / n + (DECAY * weights[g] if g >= 0 else 0.0))
+            if g < 0:  # the bias has the last place
+                bias += speed[g]
             else:
-                weights[g] -= RATE * (d / n + DECAY * weights[g])
+                weights[g] += speed[g]
     rows.unpersist()
     return weights, bias
 
