@@ -7,6 +7,7 @@ Words of the shingle operators are lower-cased over A-Z only and separated by AS
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -45,10 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in for it.
+    Only where that setting is absent and everything runs in one process (tests) a temporary folder stands
+    in for it; on any other master its absence is an error, as other machines would not see the files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="findra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/findra-{name}-{uuid.uuid4().hex}"
@@ -61,6 +65,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` begins with it (in any case)."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the key's decimal text leaves ``remainder``; a null key counts as held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
@@ -83,17 +94,21 @@ def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
-def labelled_sample(labels: DataFrame, per_label: int, max_labels: int = 64) -> dict:
-    """Id to label of at most ``per_label`` rows of each of the ``max_labels`` most frequent labels of ``id, label``.
+def labelled_sample(labels: DataFrame, per_label: int, most: int | None = None) -> dict:
+    """Id to label of at most ``per_label`` rows of each label of ``id, label``.
+
+    With ``most`` there are fewer rows of each, one at least, so that all labels have about ``most`` together.
 
     Rows with the smallest hash of their id are taken. Counts come first; they give each label a hash
     bound that about twice the wanted rows pass, so no label is gathered or ranked as a whole. Null
     ids and labels are left out; an id with several labels has the largest.
     """
     rows = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row a label
     if not counts:
         return {}
+    if most is not None:
+        per_label = max(1, min(per_label, most // len(counts)))
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, (2 * per_label + 50) / n))) for k, n in counts.items()], F.lit(0.0))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     passed = rows.withColumn("draw", draw).where(F.col("draw") < share * (1 << 30)).select("id", "label", "draw").distinct()

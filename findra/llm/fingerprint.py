@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame_of, range_bounds, range_bucket, shingle_hashes, table, text_batches, whole_id, words_of
+from .common import frame_of, range_bounds, range_bucket, shingle_hashes, stored, table, text_batches, whole_id, words_of
 
 #: Share of the hash range that is kept.
 FRACTION = 0.25
@@ -117,7 +117,7 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     The texts are shuffled once, into contiguous ranges of ids. A document and its successor meet in
     their range's task; the last document of each range is compared with the first of the next one
-    from a second look at the same shuffle, which yields two texts a range.
+    from a second look at the same shuffle, which yields two texts a range; these are joined by range.
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -153,11 +153,13 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", *whole_id("doc_id"), "text").mapInPandas(inside, SEQUENCE_SCHEMA)
     edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(ends, ENDS_SCHEMA)
-    # A row for each range, of MAX_BUCKETS at most; after the last range comes the first.
+    edges = stored(docs.sparkSession, edges, "ends")
+    # A number for each range, of MAX_BUCKETS at most; after the last range comes the first.
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole))
-    joints = edges.select(*whole_id("last_id"), "last_text", following.alias("following")).mapInPandas(across, SEQUENCE_SCHEMA)
+    turns = edges.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(whole)).alias("next"))
+    firsts = edges.select(F.col("bucket").alias("next"), F.col("first_text").alias("following"))
+    joints = edges.join(turns, "bucket").join(firsts, "next").select(*whole_id("last_id"), "last_text", "following").mapInPandas(across, SEQUENCE_SCHEMA)
     return main.unionByName(joints)
 
 

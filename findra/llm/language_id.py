@@ -11,12 +11,15 @@ on these features gives a score for each language.
 As the kernel is linear in presence, landmark spectra, whitening and regression multiply into one matrix
 (bins x languages) a length: a text is scored by the products of its weighted spectra with them.
 
-Training uses at most ``PER_LANGUAGE`` labelled documents of each language and ``MAX_LANGUAGES``
-languages (the most frequent), those with the smallest hash of their id, each by its whole text; it runs on
-the driver, in bounded memory.
-
-Defined results: a null text or one without a letter is ``und`` with score 0, as is every text where
-nothing was learned; other columns are ignored or kept; rows are judged each by itself, so repeated rows
+Training uses at most ``PER_LANGUAGE`` labelled documents of each language, and of all languages together
+``MOST_DOCUMENTS`` (of each fewer, then, but one at least: no language is left out), those with the
+smallest hash of their id, each by its whole text; it runs on the driver, in memory that these two
+and the number of languages bound.
+
+Defined results: a null text or one without a letter (a character of a category L) is ``und`` with score 0,
+as is every text where nothing was learned; an empty table gives no rows; a very long text is judged as
+a whole, in memory proportional to its length; other columns are ignored or kept, but a column
+of an output's name is replaced; rows are judged each by itself, so repeated rows
 get equal results; ties between languages go to the first in alphabetical order; null languages are not
 learned from, and neither are rows with null ids.
 """
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table, text_batches, texts_of
+from .common import held_out, labelled_sample, table, text_batches, texts_of, unused
 
 LENGTHS = (1, 2, 3, 4)
 BIN_BITS = 13
@@ -39,12 +42,15 @@ BINS = 1 << BIN_BITS
 #: Bytes in a passage, about.
 PASSAGE = 400
 PER_LANGUAGE = 150
-MAX_LANGUAGES = 64
+MOST_DOCUMENTS = 6_000
 LANDMARKS = 256
+#: Training texts whose spectra are held as dense rows at once.
+DENSE_ROWS = 256
 RIDGE = 1e-3
 SHARPNESS = 8.0
 UNKNOWN = "und"
 
+#: Letters, and some numbers that ``str.isalpha`` tells from them.
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
@@ -74,6 +80,10 @@ def spectra(text: str) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
     return k, out
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     """``tables[i]``: bins x languages for the i-th n-gram length."""
@@ -88,7 +98,7 @@ class Model:
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         s = SHARPNESS * self.scores(text)
         p = np.exp(s - s.max())
@@ -115,15 +125,15 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     for i, lang in enumerate(languages):
         turn[lang] = turn.get(lang, 0) + 1
         order.append((turn[lang], i))
-    marks = [i for _, i in sorted(order)[:landmarks]]
-    x = _presence(texts)
-    lm = [m[marks] for m in x]
+    marks = [i for _, i in sorted(order)[: max(landmarks, len(names))]]
+    lm = _presence([texts[i] for i in marks])
     weight = 1 / len(LENGTHS)
     inner = weight * sum(m @ m.T for m in lm)
     values, vectors = np.linalg.eigh(inner.astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
     white = vectors[:, keep] / np.sqrt(values[keep])
-    phi = weight * sum(a @ b.T for a, b in zip(x, lm, strict=True)).astype(np.float64) @ white
+    kernels = [sum(a @ b.T for a, b in zip(_presence(texts[lo : lo + DENSE_ROWS]), lm, strict=True)) for lo in range(0, len(texts), DENSE_ROWS)]
+    phi = weight * np.concatenate(kernels).astype(np.float64) @ white
     y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     counts = np.array([languages.count(n) for n in names], float)
     balance = np.sqrt(1 / counts[[names.index(v) for v in languages]])[:, None]
@@ -133,10 +143,10 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     return Model(names, [(weight * (m.T.astype(np.float64) @ mix)).astype(np.float32) for m in lm])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 5, remainder: int = 0, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 5, remainder: int = 0, per_language: int = PER_LANGUAGE, most: int = MOST_DOCUMENTS) -> Model:
     """A model from the documents whose id is not held out."""
     labels = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("label"))
-    sample = labelled_sample(labels.where(~held_out(F.col("id"), modulus, remainder)), per_language, MAX_LANGUAGES)
+    sample = labelled_sample(labels.where(~held_out(F.col("id"), modulus, remainder)), per_language, most)
     got = texts_of(docs, [*sample], doc_id, text)
     return fit([t for _, t in got], [sample[i] for i, _ in got])
 
@@ -144,15 +154,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES x BINS x lengths
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x lengths numbers a language
 
     @F.pandas_udf("lang string, score double")
     def judged(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
 
-    out = docs.withColumn("_judged", judged(F.col(text)))
-    return out.withColumns({lang_name: F.col("_judged.lang"), score_name: F.col("_judged.score")}).drop("_judged")
+    found = unused(docs, "judged")
+    out = docs.withColumn(found, judged(F.col(text)))
+    return out.withColumns({lang_name: F.col(f"{found}.lang"), score_name: F.col(f"{found}.score")}).drop(found)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def _sentences(text: Column) -> Column:
     def cut(k: int):
         return lambda s, i: F.struct(F.lit(k).alias("cut"), i.alias("at"), s.alias("raw"))
 
-    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = F.replace(F.translate(text, "\u0001", " "), F.lit("\r\n"), F.lit("\n"))
+    text = F.replace(text, F.lit("\r"), F.lit("\n"))
     marked = F.regexp_replace(text, "([.!?])[ \\t]+", "$1\n")
     unwrapped = F.regexp_replace(F.regexp_replace(text, "\n[ \\t]*\n", "\u0001"), "\n", " ")
     cuts = [F.split(marked, "\n", -1), F.split(F.regexp_replace(unwrapped, "([.!?]) +", "$1\u0001"), "\u0001", -1)]
@@ -122,7 +123,7 @@ def _matched(sequence: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: ``doc_id, n_sentences`` (known ones), ``idents`` (in text order, of both cuts) and ``licences`` (sorted, distinct)."""
+    """A row for each document: ``doc_id, n_sentences`` (known ones, by the cut that has more), ``idents`` (in text order, of both cuts) and ``licences`` (sorted, distinct)."""
     known = known_sentences(docs.sparkSession)
     # The row number is made and used within one job, only to keep repeated documents apart.
     none = F.array(F.struct(F.lit(-1).alias("cut"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("raw")))
@@ -137,7 +138,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     per = per.withColumns({"a": sequence(0), "b": sequence(1)})
     licences = F.array_sort(F.array_union(_matched(F.col("a")), _matched(F.col("b"))))
-    return per.select(doc_id, F.size("seq").cast("bigint").alias("n_sentences"), F.concat("a", F.lit("/"), "b").alias("idents"), licences.alias("licences"))
+    counts = [F.size(F.filter("seq", lambda s, cut=cut: s["cut"] == cut)) for cut in (0, 1)]
+    return per.select(doc_id, F.greatest(*counts).cast("bigint").alias("n_sentences"), F.concat("a", F.lit("/"), "b").alias("idents"), licences.alias("licences"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +169,7 @@ e AS (SELECT doc_id, cut, generate_subscripts(a, 1) AS p, unnest(a) AS s FROM c)
 h AS (SELECT doc_id, cut, p, ident FROM (SELECT doc_id, cut, p, {plain} AS sentence FROM e) JOIN k USING (sentence)),
 q AS (SELECT doc_id, cut, string_agg('|' || ident || '|', '' ORDER BY p, ident) AS seq FROM h GROUP BY doc_id, cut),
 m AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM (SELECT DISTINCT doc_id, licence FROM ({matched})) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id)
+n AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, cut, count(*) AS n FROM h GROUP BY doc_id, cut) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_sentences, coalesce(licences, '') AS licences FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 

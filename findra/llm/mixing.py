@@ -16,7 +16,9 @@ addresses), ``tabular`` (several cell bars), ``prose``.
 
 Defined results: a null source or language is a category of its own, ``(none)``; null or empty texts
 have no tokens and are kept with their cell's probability, 0 in a cell without tokens; equal ids share
-their fate; a null id draws as the empty string; an empty table gives no rows; other columns are kept.
+their fate; a null id draws as the empty string; cells of equal rates are filled together; an empty table
+gives no rows; a very long text is one row; other columns are kept, but one of an output's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 ROUNDS = 8
 BUDGET = 0.5
@@ -61,17 +63,16 @@ def uniform_of(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def _described(docs: DataFrame, doc_id: str, text: str, source: str, lang: str) -> DataFrame:
-    """``docs`` with the fields the mixer needs under names that cannot clash."""
-    return docs.withColumns(
-        {
-            "_mix_source": F.coalesce(F.col(source), F.lit(NONE)),
-            "_mix_lang": F.coalesce(F.col(lang), F.lit(NONE)),
-            "_mix_topic": F.coalesce(topic_of(F.col(text)), F.lit("prose")),
-            "_mix_tokens": tokens_of(F.col(text)),
-            "_mix_u": uniform_of(F.col(doc_id)),
-        }
-    )
+def _described(docs: DataFrame, prefix: str, doc_id: str, text: str, source: str, lang: str) -> DataFrame:
+    """``docs`` with the fields the mixer needs, under names that begin with ``prefix``."""
+    fields = {
+        "source": F.coalesce(F.col(source), F.lit(NONE)),
+        "lang": F.coalesce(F.col(lang), F.lit(NONE)),
+        "topic": F.coalesce(topic_of(F.col(text)), F.lit("prose")),
+        "tokens": tokens_of(F.col(text)),
+        "u": uniform_of(F.col(doc_id)),
+    }
+    return docs.withColumns({f"{prefix}{k}": c for k, c in fields.items()})
 
 
 def _targets(cells: DataFrame, dim: str, power: float, shares: dict[str, float] | None, rest: float) -> DataFrame:
@@ -127,27 +128,25 @@ def cell_weights(
 
 def calibrated(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", **targets) -> DataFrame:
     """``docs`` with ``mix_topic, mix_tokens, mix_weight, mix_prob, mix_keep``."""
-    described = _described(docs, doc_id, text, source, lang)
-    names = [f"_mix_{d}" for d in _DIMS]
-    cells = described.groupBy(*names).agg(F.sum("_mix_tokens").alias("tokens")).toDF(*_DIMS, "tokens")
+    own = unused(docs, "mixer_")
+    described = _described(docs, own, doc_id, text, source, lang)
+    names = [f"{own}{d}" for d in _DIMS]
+    cells = described.groupBy(*names).agg(F.sum(f"{own}tokens").alias("tokens")).toDF(*_DIMS, "tokens")
     fitted = stored(spark, cell_weights(spark, stored(spark, cells, "cells"), **targets), "cells")
-    fitted = fitted.select(*[F.col(d).alias(f"_mix_{d}") for d in _DIMS], F.col("weight").alias("_mix_weight"), F.col("prob").alias("_mix_prob"))
+    fitted = fitted.select(*[F.col(d).alias(f"{own}{d}") for d in _DIMS], F.col("weight").alias(f"{own}weight"), F.col("prob").alias(f"{own}prob"))
     # No size bound on the cells is proven (sources may be many), so Spark picks the join by their size.
     joined = described.join(fitted, names, "left")
-    prob = F.coalesce("_mix_prob", F.lit(0.0))
-    return joined.select(
-        *[joined[c] for c in docs.columns],
-        F.col("_mix_topic").alias("mix_topic"),
-        F.col("_mix_tokens").alias("mix_tokens"),
-        F.coalesce("_mix_weight", F.lit(0.0)).alias("mix_weight"),
-        prob.alias("mix_prob"),
-        (F.col("_mix_u") < prob).alias("mix_keep"),
-    )
+    prob = F.coalesce(f"{own}prob", F.lit(0.0))
+    out = {"mix_topic": F.col(f"{own}topic"), "mix_tokens": F.col(f"{own}tokens"), "mix_weight": F.coalesce(f"{own}weight", F.lit(0.0)), "mix_prob": prob, "mix_keep": F.col(f"{own}u") < prob}
+    return joined.select(*[c for c in docs.columns if c not in out], *[c.alias(k) for k, c in out.items()])
 
 
 def sample(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents drawn by their calibrated probabilities, with the columns of ``docs``."""
-    return calibrated(spark, docs, **options).where("mix_keep").select(*docs.columns)
+    own = unused(docs, "drawn_")
+    plain = docs.toDF(*[f"{own}{c}" for c in docs.columns])  # so that no column has an output's name
+    names = {k: f"{own}{options.pop(k, k)}" for k in ("doc_id", "text", "source", "lang")}
+    return calibrated(spark, plain, **names, **options).where("mix_keep").select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

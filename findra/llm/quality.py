@@ -1,17 +1,20 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded as shares of character
-kinds, word statistics and repetition (within the passage and against the document so far). Gated
+kinds, word statistics, repetition (within the passage and against the document so far), and its
+lower-cased byte n-grams of 2 to 4 (words with a space on both sides) hashed to ``GRAM_BINS`` signed
+bins. Gated
 attention ``softmax_k(w . (tanh(V h_k) * sigmoid(U h_k)))`` weighs the encoded passages; the weighted
 sum, through one logistic unit, is the document's score. Only document labels are used; encoder,
-attention and output are learned together with Adam on the driver.
+attention and output are learned together with Adam on the driver; a bag's loss is the logistic one, each label of equal weight.
 
 Training uses at most ``PER_LABEL`` labelled documents of each label, each by its whole text.
 
 Defined results: a null or empty text is one passage of zeros and gets a score like any other; where
 nothing was learned, or one label only, every score is that label's share (0.5 without labels); rows are
-judged each by itself, so repeated rows get equal results; an empty table gives no rows; other columns
-are kept.
+judged each by itself, so repeated rows get equal results and ties stay ties; a very long text is judged
+as a whole, in memory proportional to its length; an empty table gives no rows; other columns are kept,
+but one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ SEED = 7
 THRESHOLD = 0.5
 
 _KINDS = 8
-N_FEATURES = _KINDS + 6
+GRAMS = (2, 3, 4)
+GRAM_BINS = 96
+N_FEATURES = _KINDS + 6 + GRAM_BINS
 
 
 def _byte_kinds() -> np.ndarray:
@@ -60,6 +65,26 @@ def _byte_kinds() -> np.ndarray:
 _KIND = _byte_kinds()
 
 
+def _hashed_grams(words: list[bytes], of: np.ndarray, k: int) -> np.ndarray:
+    """Passages x ``GRAM_BINS``: signed counts of the passages' n-grams, over the root of their number."""
+    raw = np.frombuffer(b" " + b" ".join(words).lower() + b" ", np.uint8).astype(np.uint32)
+    # The passage of each byte: that of the word it belongs to or stands before.
+    owner = np.append(np.repeat(of, np.fromiter(map(len, words), np.int64, len(words)) + 1), of[-1])
+    out, code = np.zeros(k * GRAM_BINS), np.zeros(len(raw), np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        m = len(raw) - n + 1
+        if m <= 0:
+            break
+        code = (code[:m] << np.uint32(8)) | raw[n - 1 :]
+        if n in GRAMS:
+            h = (code + np.uint32(n)) * np.uint32(2654435761)
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
+            sign = ((h >> np.uint32(31)).astype(np.int8) << 1) - 1
+            out += np.bincount(owner[:m] * GRAM_BINS + ((h >> np.uint32(8)) % np.uint32(GRAM_BINS)), sign, minlength=k * GRAM_BINS)
+    size = np.bincount(owner, minlength=k)
+    return out.reshape(k, GRAM_BINS) / np.sqrt(size)[:, None]
+
+
 def encode(text: str | None) -> np.ndarray:
     """Passages x ``N_FEATURES``; time and memory in proportion to the text."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -95,7 +120,7 @@ def encode(text: str | None) -> np.ndarray:
         np.log1p(np.maximum(var, 0)) / 4,
         count / PASSAGE,
     ], axis=1)
-    return np.concatenate([hist, stats], axis=1).astype(np.float32)
+    return np.concatenate([hist, stats, _hashed_grams(words, of, k)], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,6 +147,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         return h, t, g, a, z, _sigmoid(z @ p["o"] + p["b"])
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Derivatives of the bags' mean weighted logistic loss by every parameter."""
+        p = self.params
+        h, t, g, a, z, out = self.forward(x, starts, bag)
+        d = (out - y) * weight / len(y)
+        dz = d[:, None] * p["o"]
+        dh = a[:, None] * dz[bag]
+        da = np.einsum("ij,ij->i", h, dz[bag])
+        ds = a * (da - np.add.reduceat(a * da, starts)[bag])
+        dtg = ds[:, None] * p["w"]
+        dt, dg = dtg * g * (1 - t**2), dtg * t * g * (1 - g)
+        dh = dh + dt @ p["V"].T + dg @ p["U"].T
+        dx = dh * (1 - h**2)
+        return {"E": x.T @ dx, "e": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "o": z.T @ d, "b": d.sum(keepdims=True)}
+
     def scores(self, bags: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Score of each bag and the attention weights of its passages."""
         if self.constant is not None:
@@ -160,19 +200,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
             bag = np.repeat(np.arange(len(pick)), sizes)
             x = (np.concatenate([bags[i] for i in pick]) - m.shift) / m.scale
             p = m.params
-            h, t, g, a, z, out = m.forward(x, starts, bag)
-            d = (out - y[pick]) * weight[pick] / len(pick)
-            dz = d[:, None] * p["o"]
-            dh = a[:, None] * dz[bag]
-            da = np.einsum("ij,ij->i", h, dz[bag])
-            ds = a * (da - np.add.reduceat(a * da, starts)[bag])
-            dtg = ds[:, None] * p["w"]
-            dt, dg = dtg * g * (1 - t**2), dtg * t * g * (1 - g)
-            dh = dh + dt @ p["V"].T + dg @ p["U"].T
-            dx = dh * (1 - h**2)
-            grad = {"E": x.T @ dx, "e": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "o": z.T @ d, "b": d.sum(keepdims=True)}
             step += 1
-            for k, v in grad.items():
+            for k, v in m.gradients(x, starts, bag, y[pick], weight[pick]).items():
                 v = v + DECAY * p[k]
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.999 * second[k] + 0.001 * v**2

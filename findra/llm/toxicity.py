@@ -20,7 +20,8 @@ text, on the driver; the field itself half of the former and as many of the latt
 Defined results: a null, empty or wordless text has no token and gets the score of a document without any
 toxic sign, and no spans; where nothing was learned, or one label only, every score is that label's share
 (0 without labels); rows are judged each by itself, so repeated rows get equal results; an empty table
-gives no rows; other columns are kept.
+gives no rows; a very long text is one batch, in memory proportional to its length; ties cannot occur, as
+every text has a score of its own; other columns are kept, but one of an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, held_out, labelled_sample, table, text_batches, texts_of
+from .common import batches_by_size, held_out, labelled_sample, table, text_batches, texts_of, unused
 
 #: Toxic documents that are learned from at most; CLEAN_TIMES as many others.
 PER_LABEL = 800
@@ -182,8 +184,11 @@ def evidence_of(docs: list[list[str]], labels: list[int]) -> set[str]:
                 continue
             tokens[side] += len(words)
             for i, w in enumerate(words):
-                context = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")) & ~mask
-                keys.extend(context | candidates[p] for p in _prefixes(w) if p in candidates)
+                found = [candidates[p] for p in _prefixes(w) if p in candidates]
+                if found:
+                    context = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode("utf-8", "surrogatepass")
+                    context = (xxhash.xxh64_intdigest(context) >> 1) & ~mask
+                    keys.extend(context | k for k in found)
         distinct.append(np.bincount(np.unique(np.frombuffer(keys, np.int64)) & mask, minlength=len(candidates)) if keys else np.zeros(len(candidates), np.int64))
     base = tokens[1] / max(1, sum(tokens))
     out = set()
@@ -368,8 +373,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_name: str = "
             spans.extend([{"start": a, "end": b} for a, b in x] for x in found)
         return pd.DataFrame({"score": np.array(scores, float), "spans": pd.Series(spans, dtype=object)})
 
-    out = docs.withColumn("_judged", judged(F.col(text)))
-    return out.withColumns({score_name: F.col("_judged.score"), spans_name: F.col("_judged.spans")}).drop("_judged")
+    found = unused(docs, "judged")
+    out = docs.withColumn(found, judged(F.col(text)))
+    return out.withColumns({score_name: F.col(f"{found}.score"), spans_name: F.col(f"{found}.spans")}).drop(found)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 with ``/path``; of the fitting rules the longest wins.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, which no rule fits and the
-model scores by its bias alone; repeated rows are each judged; an empty table gives no rows; other
-columns are ignored. Rules of equal length that fit one URL are the same rule.
+model scores by its bias alone; repeated rows are each judged; an empty table gives no rows; a very long
+URL is one row, in memory proportional to its length; other columns are kept, but one of an output's
+name is replaced. Rules of equal length that fit one URL are the same rule.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: edge cases, brute force, round trips."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -185,7 +186,7 @@ def brute_contamination(rows, items):
     return sorted(out, key=repr)
 
 
-def test_contamination_equals_brute_force(spark, odd):
+def test_contamination_equals_brute_force(spark, odd, monkeypatch):
     text = " ".join(f"q{i}" for i in range(25))
     items = [(1, text), (2, "One, TWO!"), (3, None), (4, "..."), (5, "é ß Ünï"), (6, text + " tail"), (None, "unnamed item here")]
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [
@@ -195,13 +196,15 @@ def test_contamination_equals_brute_force(spark, odd):
     docs = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
     got = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS)).drop("spans")
     assert sorted(map(tuple, got.collect()), key=repr) == brute_contamination(rows, items)
-    large = decontaminate.BROADCAST_WINDOWS
-    try:
-        decontaminate.BROADCAST_WINDOWS = 1
-        again = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS)).drop("spans")
-        assert sorted(map(tuple, again.collect()), key=repr) == brute_contamination(rows, items)
-    finally:
-        decontaminate.BROADCAST_WINDOWS = large
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.remove_documents(docs, spark.createDataFrame(items, ITEMS)).collect() if r["text"])
+    cut = sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.remove_spans(docs, spark.createDataFrame(items, ITEMS)).collect() if r["text"])
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 1)
+    again = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS)).drop("spans")
+    assert sorted(map(tuple, again.collect()), key=repr) == brute_contamination(rows, items)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.remove_documents(docs, spark.createDataFrame(items, ITEMS)).collect() if r["text"]) == kept
+    clashing = docs.withColumnsRenamed({"lang": "hit_spans", "source": "hit_id"})
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.remove_spans(clashing, spark.createDataFrame(items, ITEMS)).collect() if r["text"]) == cut
+    assert decontaminate.contamination(docs, spark.createDataFrame([], ITEMS)).where("contaminated").count() == 0
 
 
 def test_removing_documents_and_spans(spark, odd, empty):
@@ -384,6 +387,52 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert language_id.predict(odd, language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_needs_a_letter():
+    assert not any(language_id.has_letter(t) for t in ("½ ² ①", "Ⅷ 12", "\u0301", "")) and all(language_id.has_letter(t) for t in ("½a", "1 ª", "日"))
+    model = language_id.fit([prose("en", 1), prose("de", 2)], ["en", "de"])
+    assert model.predict("½ ² ① Ⅷ") == ("und", 0.0)
+    same = language_id.fit([prose("en", 1)] * 2, ["zz", "aa"])
+    assert same.predict(prose("en", 1))[0] == "aa"
+
+
+def test_language_id_leaves_no_language_out(spark):
+    rng = np.random.default_rng(3)
+    alphabets = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False)) for _ in range(80)]
+    rows = [(1000 * k + i, " ".join("".join(rng.choice(list(a), 6)) for _ in range(40)), f"l{k:02d}", "s") for k, a in enumerate(alphabets) for i in range(5)]
+    docs = docs_of(spark, rows)
+    model = language_id.train(docs, most=100)
+    assert len(model.languages) == len({lang for i, _, lang, _ in rows if common.crc_mod(i, 5) != 0}) >= 79
+
+
+def test_columns_of_clashing_names(spark):
+    """Names that operators use themselves, in the input."""
+    docs = spark.createDataFrame([(i, prose("en", i), "en", "s", "j", "k") for i in range(8)], "doc_id bigint, text string, lang string, source string, judged string, Mixer_u string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id bigint, quality int, toxic int")
+    for out in (
+        language_id.predict(docs.withColumn("lang_pred", F.lit(1)), language_id.train(docs)),
+        toxicity.score(docs.withColumn("toxicity_score", F.lit("x")), toxicity.train(docs, labels)),
+        quality.score(docs.withColumn("quality_score", F.lit("x")), quality.train(docs, labels)),
+        mixing.calibrated(spark, docs.withColumn("mix_keep", F.lit("x"))),
+        mixing.sample(spark, docs.withColumn("mix_keep", F.lit("x")), budget=1.0),
+    ):
+        rows = out.collect()
+        assert len(rows) == 8 and all(r["judged"] == "j" and r["Mixer_u"] == "k" for r in rows)
+        assert len(set(out.columns)) == len(out.columns)
+    assert {r["mix_keep"] for r in mixing.sample(spark, docs.withColumn("mix_keep", F.lit("x")), budget=1.0).collect()} == {"x"}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context
+        conf = {"other": "x"}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session, "x")
+
+
 # --- fingerprints
 
 
@@ -550,6 +599,54 @@ def test_quality_separates_junk(spark, odd, empty):
     assert quality.score(empty, model).count() == 0
     attention = model.scores([quality.encode(rows[0][1])])[1][0]
     assert attention.sum() == pytest.approx(1)
+    twice = model.scores([quality.encode(rows[0][1]), quality.encode(rows[0][1]), quality.encode(LONG)])[0]
+    assert twice[0] == twice[1] and 0 <= twice[2] <= 1
+
+
+def quality_by_loops(model, bag):
+    """The score of one bag, unit by unit."""
+    p, hidden, raw = model.params, [], []
+    for x in (bag - model.shift) / model.scale:
+        h = [math.tanh(sum(x[i] * p["E"][i, j] for i in range(len(x))) + p["e"][j]) for j in range(quality.HIDDEN)]
+        t = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) for j in range(quality.ATTENTION)]
+        g = [1 / (1 + math.exp(-sum(h[i] * p["U"][i, j] for i in range(len(h))))) for j in range(quality.ATTENTION)]
+        hidden.append(h)
+        raw.append(math.exp(sum(a * b * w for a, b, w in zip(t, g, p["w"], strict=True))))
+    z = [sum(r * h[j] for r, h in zip(raw, hidden, strict=True)) / sum(raw) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["o"], strict=True)) - p["b"][0]))
+
+
+def test_quality_equals_loops_and_its_gradient_the_numeric_one():
+    texts = [prose("en", i, 20 + 60 * (i % 4)) if i % 2 else " ".join(w + "$" for w in prose("de", i, 90).split()) for i in range(24)]
+    model = quality.fit(texts, [i % 2 for i in range(24)], epochs=2)
+    bags = [quality.encode(t) for t in texts[:5]]
+    assert max(map(len, bags)) > 2
+    assert model.scores(bags)[0] == pytest.approx([quality_by_loops(model, b) for b in bags])
+    sizes = np.array([len(b) for b in bags])
+    starts, bag = np.append(0, np.cumsum(sizes)[:-1]), np.repeat(np.arange(len(bags)), sizes)
+    x, y, weight = (np.concatenate(bags) - model.shift) / model.scale, np.array([0.0, 1, 0, 1, 0]), np.array([1.0, 2, 1, 2, 1])
+
+    def loss():
+        out = model.forward(x, starts, bag)[-1]
+        return -np.mean(weight * (y * np.log(out) + (1 - y) * np.log(1 - out)))
+
+    rng = np.random.default_rng(0)
+    for name, grad in model.gradients(x, starts, bag, y, weight).items():
+        flat = model.params[name].ravel()
+        for at in rng.choice(len(flat), min(6, len(flat)), replace=False):
+            was = flat[at]
+            flat[at] = was + 1e-5
+            up = loss()
+            flat[at] = was - 1e-5
+            down = loss()
+            flat[at] = was
+            assert grad.ravel()[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_passages_are_encoded_with_their_grams():
+    one, other = (quality.encode(t)[0][-quality.GRAM_BINS :] for t in ("alpha beta gamma", "omega sigma kappa"))
+    assert np.abs(one - other).max() > 0.1 and (quality.encode("Alpha BETA gamma")[0][-quality.GRAM_BINS :] == one).all()
+    assert not quality.encode(None).any() and len(quality.encode("w " * 100)) == 3
 
 
 # --- mixing
