@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findra.llm import decontaminate, jaccard_join, language_id, mixing, token_output
-from findra.llm.common import stored, table
+from findra.llm.common import stored, table, unused
 
 #: Expected share of the tokens that the mixing stage keeps.
 MIX_BUDGET = 0.5
@@ -25,8 +25,9 @@ MIX_BUDGET = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language; ``und`` goes."""
-    judged = language_id.predict(docs, language_id.train(docs), lang_name="_lang", score_name="_lang_score")
-    return judged.where(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
+    own = unused(docs, "judged_")
+    judged = language_id.predict(docs, language_id.train(docs), lang_name=f"{own}lang", score_name=f"{own}score")
+    return judged.where(F.col(f"{own}lang") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
