@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame_of, range_bounds, range_bucket, shingle_hashes, stored, table, text_batches, whole_id, words_of
+from .common import frame_of, frugal, range_bounds, range_bucket, shingle_hashes, stored, table, text_batches, whole_id, words_of
 
 #: Share of the hash range that is kept.
 FRACTION = 0.25
@@ -151,15 +151,15 @@ def sequence_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             rows = zip(pdf["last_id"].tolist(), pdf["known"].tolist(), pdf["last_text"].tolist(), pdf["following"].tolist(), strict=True)
             yield frame_of([_compare(key if known else None, t, sketch(t), f, sketch(f)) for key, known, t, f in rows], SEQUENCE_SCHEMA)
 
-    main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", *whole_id("doc_id"), "text").mapInPandas(inside, SEQUENCE_SCHEMA)
-    edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(ends, ENDS_SCHEMA)
+    main = dealt.sortWithinPartitions("bucket", "doc_id", "text").select("bucket", *whole_id("doc_id"), "text").mapInPandas(frugal(inside), SEQUENCE_SCHEMA)
+    edges = dealt.select("bucket", *whole_id("doc_id"), "text").mapInPandas(frugal(ends), ENDS_SCHEMA)
     edges = stored(docs.sparkSession, edges, "ends")
     # A number for each range, of MAX_BUCKETS at most; after the last range comes the first.
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = edges.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(whole)).alias("next"))
     firsts = edges.select(F.col("bucket").alias("next"), F.col("first_text").alias("following"))
-    joints = edges.join(turns, "bucket").join(firsts, "next").select(*whole_id("last_id"), "last_text", "following").mapInPandas(across, SEQUENCE_SCHEMA)
+    joints = edges.join(turns, "bucket").join(firsts, "next").select(*whole_id("last_id"), "last_text", "following").mapInPandas(frugal(across), SEQUENCE_SCHEMA)
     return main.unionByName(joints)
 
 

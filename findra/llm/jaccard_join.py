@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, frame_of, shingle_hashes, stored, table, text_batches, whole_id, words_of
+from .common import batches_by_size, frame_of, frugal, shingle_hashes, stored, table, text_batches, whole_id, words_of
 from .components import components
 
 #: Hash buckets whose shingle counts order shingles.
@@ -136,7 +136,7 @@ def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
         yield pd.DataFrame([(i, s.astype("<i8").tobytes()) for i, s in sums.items()], columns=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    parts = docs.select(F.col(text).alias("t")).mapInPandas(count, schema).repartition("chunk").mapInPandas(add, schema)
+    parts = docs.select(F.col(text).alias("t")).mapInPandas(frugal(count), schema).repartition("chunk").mapInPandas(add, schema)
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for i, c in parts.collect():  # BUCKET_CHUNKS rows
         out[i * width : (i + 1) * width] += np.frombuffer(c, "<i8")
@@ -317,7 +317,7 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, for_leaders: bool) -> DataFrame:
             n_a, n_b = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
             yield pdf[2 * apart <= n_b if for_leaders else 7 * apart <= n_a + n_b][["a", "b", "row_a", "row_b"]]
 
-    return stored(nodes.sparkSession, pairs.mapInPandas(sift, ROW_PAIR_SCHEMA), "pairs")
+    return stored(nodes.sparkSession, pairs.mapInPandas(frugal(sift), ROW_PAIR_SCHEMA), "pairs")
 
 
 def _named(spark: SparkSession, ids: DataFrame) -> Column:
@@ -374,7 +374,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, lone: bool) -> DataFrame:
 
     joined = pairs.join(texts.select(F.col("row").alias("row_b"), F.col("t").alias("tb")), "row_b")
     joined = joined.join(texts.select(F.col("row").alias("row_a"), F.col("t").alias("ta")), "row_a")
-    return stored(spark, joined.select("a", "b", "ta", "tb").mapInPandas(test, ANSWER_SCHEMA), "answers")
+    return stored(spark, joined.select("a", "b", "ta", "tb").mapInPandas(frugal(test), ANSWER_SCHEMA), "answers")
 
 
 def links_by_difference(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
@@ -411,8 +411,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rank = spark.sparkContext.broadcast(commonness(bucket_counts(docs, "t")))  # 2 ** BUCKET_BITS bytes
 
     whole = docs.select(_row("i", "t").alias("row"), *whole_id("i"), "t")
-    postings = whole.mapInPandas(lambda batches: _postings(batches, rank.value), POSTING_SCHEMA)
-    index = stored(spark, postings.repartition("key").sortWithinPartitions("key").mapInPandas(_lists, INDEX_SCHEMA), "lists")
+    postings = whole.mapInPandas(frugal(lambda batches: _postings(batches, rank.value)), POSTING_SCHEMA)
+    index = stored(spark, postings.repartition("key").sortWithinPartitions("key").mapInPandas(frugal(_lists), INDEX_SCHEMA), "lists")
     facts, entries = index.where("kind = 1").withColumnRenamed("other", "doc_id"), index.where("kind = 0")
     nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(spark, nodes.select("*", F.col("first.row").alias("row")), "nodes")
@@ -430,7 +430,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     members = entries.select("key", "node", "n", "q").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     packed = F.collect_list(F.array("node", "comp", F.col("n").cast("bigint"), F.col("q").cast("bigint")))
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.flatten(packed).alias("entries")).where("lo <> hi")
-    pairs = _sifted(mixed.select("entries").mapInPandas(_across, PAIR_SCHEMA).distinct(), nodes, False)
+    pairs = _sifted(mixed.select("entries").mapInPandas(frugal(_across), PAIR_SCHEMA).distinct(), nodes, False)
     derived = stored(spark, _derived(pairs, answers), "derived")
     second = derived.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if derived.where("linked IS NULL").limit(1).count():

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table, text_batches, texts_of, unused
+from .common import give_back, held_out, labelled_sample, table, text_batches, texts_of, unused
 
 LENGTHS = (1, 2, 3, 4)
 BIN_BITS = 13
@@ -159,7 +159,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_name: str =
     @F.pandas_udf("lang string, score double")
     def judged(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
+        out = pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
+        give_back()
+        return out
 
     found = unused(docs, "judged")
     out = docs.withColumn(found, judged(F.col(text)))

@@ -38,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, frame_of, range_bounds, range_bucket, shared_dir, text_batches
+from .common import batches_by_size, frame_of, frugal, range_bounds, range_bucket, shared_dir, text_batches
 
 END_ID = 1
-#: Chunks in each of a worker's two cache generations at most; about 180 bytes each.
-CACHE_CHUNKS = 500_000
+#: Chunks in each of a worker's two cache generations at most, before their cores; about 200 bytes each.
+CACHE_CHUNKS = 300_000
 ROWS_PER_FILE = 4_000
 #: Characters of text that are encoded at once (a longer text alone).
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
 
 # The normaliser and pre-tokeniser of vocabularies whose chunks can be encoded one by one.
 NORMALIZES = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -245,7 +245,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
             close()
 
     ordered = docs.withColumn("bucket", range_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "text").select("bucket", "key", "text")
-    ordered.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
+    ordered.mapInArrow(frugal(write), INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index")
 
 
@@ -267,7 +267,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                         rows.append((key, b, first, len(ids) // 4, zlib.crc32(ids)))
             yield frame_of(rows, READ_SCHEMA)
 
-    return index.mapInPandas(read, READ_SCHEMA)
+    return index.mapInPandas(frugal(read), READ_SCHEMA)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, vocabulary: str, out_dir: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
