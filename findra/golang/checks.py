@@ -594,24 +594,24 @@ def _(t):
 
 @check("boolean-literal-comparison")
 def _(t):
-    return report(t.of("Binary").where("name IN ('==', '!=') AND exists(children, c -> c.kind = 'Ident' AND c.name IN ('true', 'false'))"), "compare with a boolean literal is needless")
+    return report(t.of("Binary").where("name IN ('==', '!=') AND exists(children, c -> c.bare IN ('true', 'false'))"), "compare with a boolean literal is needless")
 
 
 @check("constant-logical-expr")
 def _(t):
-    return report(t.of("Binary").where("name = '&&' AND get(children, 0).spelling = 'false' OR name = '||' AND get(children, 0).spelling = 'true'"), "expression has a constant value")
+    return report(t.of("Binary").where("name = '&&' AND get(children, 0).bare = 'false' OR name = '||' AND get(children, 0).bare = 'true'"), "expression has a constant value")
 
 
 @check("modulo-one")
 def _(t):
-    return report(t.of("Binary").where("name = '%' AND get(children, 1).spelling = '1'"), "x % 1 is always 0")
+    return report(t.of("Binary").where("name = '%' AND get(children, 1).value = '1'"), "x % 1 is always 0")
 
 
 @check("zero-integer-division")
 def _(t):
-    number = "regexp_like({0}, '^[1-9][0-9]*$|^0$')"
-    rows = t.of("Binary").where(f"name = '/' AND {number.format('get(children, 0).spelling')} AND {number.format('get(children, 1).spelling')}")
-    return report(rows.where("length(get(children, 0).spelling) <= 38 AND length(get(children, 1).spelling) <= 38 AND TRY_CAST(get(children, 0).spelling AS DECIMAL(38,0)) < TRY_CAST(get(children, 1).spelling AS DECIMAL(38,0))"), "integer division gives 0")
+    number = "TRY_CAST(get(children, {0}).value AS DECIMAL(38,0))"
+    literals = "forall(children, c -> c.bare_kind = 'BasicLit' AND regexp_like(c.bare, '^[0-9]'))"
+    return report(t.of("Binary").where(f"name = '/' AND {literals} AND {number.format(0)} < {number.format(1)}"), "integer division gives 0")
 
 
 @check("double-negation")
@@ -703,7 +703,7 @@ def _(t):
 def _(t):
     limit = t.options["max-file-lines"]
     rows = t.text.where(F.size(F.split("text", "\n", -1)) > limit) if limit else t.text.where("false")
-    return report(rows, "file is too long", "0", "0")
+    return report(rows, "file is too long", "0", "size")
 
 
 @check("filename-format")
@@ -793,24 +793,34 @@ def _(t):
     return report(rows.where(f"NOT ({valid}) OR size(keys) <> size(array_distinct(keys))"), "struct tag is malformed", "tag.start", "tag.stop")
 
 
+def _semantic() -> tuple:
+    """The modules of the approximated checks; all of them add to one table."""
+    from . import semantic, semantic_calls, semantic_local
+
+    return semantic, semantic_calls, semantic_local
+
+
 def _all() -> dict[str, Callable[[Tables], DataFrame]]:
-    from . import semantic
+    return CHECKS | _semantic()[0].CHECKS
 
-    return CHECKS | semantic.CHECKS
 
+def supported() -> list[str]:
+    return [*_all()]
 
-def severity_of(code: str) -> str:
-    from . import semantic
 
-    return next(s for of in (SEVERITY, semantic.SEVERITY) for s, codes in of.items() if code in codes.split())
+def severities() -> list[tuple[str, dict[str, str], bool]]:
+    """Engine, codes by severity, and whether they are supported."""
+    modules = _semantic()
+    return [("syntax", SEVERITY, True), *[("semantic", m.SEVERITY, True) for m in modules], ("semantic", modules[0].UNSUPPORTED, False)]
+
+
+def severity_of(code: str) -> str:
+    return next(s for _, of, _ in severities() for s, codes in of.items() if code in codes.split())
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """All checks: ``code, engine, severity, supported``; unsupported ones never count as clean."""
-    from . import semantic
-
-    sets = (("syntax", SEVERITY, True), ("semantic", semantic.SEVERITY, True), ("semantic", semantic.UNSUPPORTED, False))
-    rows = [(c, engine, s, ok) for engine, of, ok in sets for s, codes in of.items() for c in codes.split()]
+    rows = [(c, engine, s, ok) for engine, of, ok in severities() for s, codes in of.items() for c in codes.split()]
     return spark.createDataFrame(sorted(rows), "code string, engine string, severity string, supported boolean")
 
 

@@ -70,7 +70,7 @@ func late(n int, ctx context.Context) { _, _ = n, ctx } //@ context-as-argument
 
 func first() (error, int) { return nil, 1 } //@ error-last-result
 
-func wait(wg sync.WaitGroup) { wg.Wait() } //@ waitgroup-by-value
+func wait(wg sync.WaitGroup) { wg.Wait() } //@ waitgroup-by-value copy-lock-value
 
 func Make() point { return point{} } //@ unexported-return exported-declaration-comment
 
@@ -432,6 +432,308 @@ func BenchmarkIt(b *testing.B) { //@ exported-declaration-comment
 func TestMain(m *testing.M) { //@ test-main-missing-exit exported-declaration-comment
 	m.Run()
 }
+""",
+    "semantic/constants.go": """
+// Package semantic has calls with suspicious constants.
+package semantic
+
+import (
+	"bytes"
+	"context"
+	"encoding/hex"
+	"errors"
+	"fmt"
+	"io"
+	"log/slog"
+	"math"
+	"net"
+	"net/http"
+	"net/url"
+	re "regexp"
+	"sort"
+	"strings"
+	"time"
+)
+
+const brokenPattern = "(a"
+
+const listenAll = ":" + "99999"
+
+type holder struct {
+	ctx context.Context //@ context-stored-in-struct
+	next func(context.Context)
+}
+
+type elevenWays interface { //@ interface-method-limit
+	one(); two(); three(); four(); five(); six(); seven(); eight(); nine(); ten(); eleven()
+}
+
+type tenWays interface {
+	one(); two(); three(); four(); five(); six(); seven(); eight(); nine(); ten()
+}
+
+func operators(a, b *int, n, m int, x, y string, f float64) {
+	_ = &n == nil //@ address-nil-comparison
+	_ = (nil) != &m //@ address-nil-comparison
+	_ = a == nil
+	_ = strings.ToLower(x) == strings.ToLower(y) //@ case-insensitive-string-comparison
+	_ = strings.ToLower(x) == strings.ToUpper(y)
+	_ = n-m == n-m //@ identical-binary-operands
+	_ = n + n
+	_ = n - m
+	_ = n & 0 //@ ineffective-bitwise-zero
+	_ = n | (0x0) //@ ineffective-bitwise-zero
+	_ = n | 1
+	_ = f == math.NaN() //@ nan-comparison
+	_ = math.IsNaN(f)
+	_ = time.Second * time.Minute //@ duration-multiplied-by-duration
+	_ = 3 * time.Minute
+	_ = uint8(n) << 8 //@ oversized-fixed-width-shift
+	_ = uint16(n) << 8
+	n = n //@ self-assignment modifies-parameter
+	a, b = b, a //@ modifies-parameter modifies-parameter
+}
+
+func constants(w io.Writer, r *http.Request, raw []byte, ctx context.Context, key any, err error, format string, names []string) { //@ context-as-argument
+	_, _ = io.WriteString(w, string(raw)) //@ byte-string-write
+	_, _ = io.WriteString(w, format)
+	_ = context.WithValue(ctx, "user", 1) //@ context-key-type
+	_ = context.WithValue(ctx, struct{}{}, 1) //@ context-key-type nested-structs
+	_ = context.WithValue(ctx, key, 1)
+	_ = context.WithValue(nil, key, 1) //@ nil-context
+	fmt.Printf(format) //@ dynamic-printf
+	fmt.Printf(format, 1)
+	fmt.Printf("plain %d", 1)
+	_ = fmt.Errorf(err.Error()) //@ dynamic-printf
+	_ = strings.NewReplacer("a", "b", "c") //@ odd-paired-arguments
+	_ = strings.NewReplacer("d", "e")
+	pattern := re.MustCompile("[a-z]+(?P<rest>.*)$")
+	_ = pattern.FindAllString(format, 0) //@ regexp-find-all-zero
+	_ = pattern.FindAllString(format, -1)
+	for _, name := range names {
+		_, _ = re.MatchString("^ok$", name) //@ regexp-match-in-loop
+		_, _ = re.MatchString(name, format)
+	}
+	_ = errors.Is(io.EOF, err) //@ swapped-errors-is-arguments
+	_ = errors.Is(err, io.EOF)
+	hex.Encode(raw, raw) //@ overlapping-encode-buffers
+	hex.Encode(raw[4:], raw)
+	r.URL.Query().Set("k", "v") //@ url-query-copy-mutation
+	values := r.URL.Query()
+	values.Set("k", "v")
+	strings.TrimSpace(format) //@ discarded-pure-result
+	_ = strings.TrimSpace(format)
+	_ = fmt.Sprintf("http://%s:%d/x", format, 1) //@ unsafe-formatted-url-host-port insecure-url-scheme
+	_ = fmt.Sprintf("%s/%d", format, 1)
+	_, _ = net.Dial("tcp", fmt.Sprintf("%s:%d", format, 2)) //@ unsafe-formatted-url-host-port
+	names = sort.StringSlice(names) //@ sort-conversion-without-sort modifies-parameter
+	sort.Sort(sort.StringSlice(names))
+	_ = r.Header["content-type"] //@ non-canonical-header
+	_ = r.Header["Content-Length"]
+	r.Header["x-odd"] = nil //@ modifies-parameter
+	slog.Info("said", "count") //@ slog-argument-shape
+	slog.Info("said", "count", 1)
+	slog.Info("said", slog.Int("n", 1), "count", 2) //@ slog-argument-shape add-constant add-constant
+	slog.Info("said", slog.Int("n", 1))
+	_ = bytes.Equal(raw, raw)
+}
+
+func languages(name string) {
+	_ = re.MustCompile(brokenPattern) //@ invalid-regexp
+	_ = re.MustCompile(`a(?=b)`) //@ invalid-regexp
+	_ = re.MustCompile("a**") //@ invalid-regexp
+	_ = re.MustCompile(`\\pL+[[:alpha:]\\d-]{2,5}?\\z`)
+	_ = re.MustCompile(name)
+	_, _ = url.Parse("%zz") //@ invalid-url
+	_, _ = url.Parse("https://example.test:8x/") //@ invalid-url
+	_, _ = url.Parse("https://user@example.test:80/a%20b?c#d")
+	_ = http.ListenAndServe("localhost", nil) //@ invalid-listen-address
+	_ = http.ListenAndServe(listenAll, nil) //@ invalid-listen-address
+	_ = http.ListenAndServe("[::1]:http", nil)
+	_ = strings.Trim(name, "\\xff") //@ invalid-utf8
+	_ = strings.Trim(name, "\\u00ff")
+}
+""",
+    "semantic/local.go": """
+// Package semantic follows names.
+package semantic
+
+import (
+	"bytes"
+	"context"
+	"database/sql"
+	"encoding/json"
+	"errors"
+	"fmt"
+	"math"
+	"net"
+	"net/http"
+	"os"
+	"os/signal"
+	"runtime"
+	"sync"
+	"testing"
+	"time"
+)
+
+type guarded struct {
+	mu sync.Mutex
+	n int
+}
+
+type lost struct{} //@ error-type-naming
+
+func (l *lost) Error() string { return "lost" } //@ exported-declaration-comment unused-receiver
+
+type sparseError struct{ code int } //@ top-level-declaration-order
+
+func (s *sparseError) Error() string { return "sparse" } //@ exported-declaration-comment unused-receiver
+
+type hidden struct{ value int }
+
+type sink struct{ n int }
+
+func (s *sink) Write(p []byte) (int, error) { //@ exported-declaration-comment
+	p[0] = 1 //@ writer-buffer-mutation modifies-parameter
+	s.n += len(p)
+	return len(p), nil
+}
+
+func fail() error { return errors.New("failed") }
+
+func opener() func() { return func() {} }
+
+func copies(g guarded, p *guarded) int { return g.n + p.n } //@ copy-lock-value
+
+func resources(client *http.Client, db *sql.DB, r *http.Request) error {
+	fail() //@ discarded-error-result
+	f, err := os.Open("a")
+	defer f.Close() //@ defer-close-before-error-check
+	if err != nil {
+		return nil //@ nil-error-return
+	}
+	defer opener() //@ deferred-return-function-not-called
+	defer opener()()
+	resp, err := client.Do(r) //@ unclosed-http-response-body
+	if err != nil {
+		return err
+	}
+	fmt.Println(resp.Status)
+	good, err := client.Do(r)
+	defer good.Body.Close()
+	rows, err := db.Query("select 1") //@ unclosed-sql-resource
+	for rows.Next() { //@ unchecked-rows-error
+		fmt.Println("row")
+	}
+	return err
+}
+
+func find(id int) (*hidden, error) {
+	if id == 0 {
+		return nil, nil //@ nil-value-with-nil-error
+	}
+	return &hidden{id}, nil
+}
+
+func concurrency(t *testing.T, jobs []int) {
+	var wg sync.WaitGroup
+	go func() { //@ testing-fatal-in-goroutine
+		wg.Add(1) //@ waitgroup-add-inside-goroutine
+		t.Fatal("no")
+	}()
+	wg.Add(1)
+	wg.Go(func() {
+		wg.Done() //@ waitgroup-go-forbidden-call
+	})
+	c := make(chan os.Signal)
+	signal.Notify(c, os.Interrupt) //@ unbuffered-signal-channel
+	d := make(chan os.Signal, 1)
+	signal.Notify(d, os.Interrupt)
+	h := &hidden{}
+	runtime.SetFinalizer(h, func(x *hidden) { fmt.Println(h.value, x) }) //@ finalizer-captures-object
+	runtime.SetFinalizer(h, func(x *hidden) { fmt.Println(x.value) })
+	for range jobs {
+		ctx, cancel := context.WithCancel(context.Background()) //@ context-cancel-in-loop
+		defer cancel() //@ no-defer-in-loop
+		fmt.Println(ctx)
+	}
+	for range jobs {
+		_, stop := context.WithCancel(context.Background())
+		stop()
+	}
+}
+
+func typed(when, then time.Time, n uint, count int, name string, ip, other net.IP, raw []byte) bool {
+	_ = when == then //@ time-value-equality
+	_ = when.Equal(then)
+	_ = n < 0 //@ impossible-integer-comparison
+	_ = count < 0
+	_ = bytes.Equal(ip, other) //@ ip-byte-comparison
+	_ = string(name) //@ redundant-conversion
+	_ = string(raw)
+	_ = fmt.Sprintf("%s", name) //@ inefficient-sprintf
+	_ = fmt.Sprintf("%s!", name)
+	_ = math.Floor(float64(count)) //@ pointless-integer-math
+	_ = math.Floor(1.5)
+	var pool sync.Pool
+	pool.Put(raw) //@ non-pointer-sync-pool-value
+	pool.Put(&raw)
+	var into hidden
+	_ = json.Unmarshal(raw, into) //@ non-pointer-unmarshal
+	_ = json.Unmarshal(raw, &into)
+	_, _ = json.Marshal(into) //@ unexported-serialization-fields
+	_, _ = json.Marshal(count)
+	return n == 1
+}
+
+func flows(limit int, given string, list []int) []int { //@ argument-overwritten-before-use cognitive-complexity
+	given = "fixed" //@ modifies-parameter
+	var m map[string]int
+	m["a"] = 1 //@ nil-map-assignment
+	k := map[string]int{}
+	k["a"] = 1 //@ add-constant
+	sized := make([]int, 4) //@ append-to-sized-slice
+	sized = append(sized, 1)
+	roomy := make([]int, 0, 4)
+	roomy = append(roomy, 1)
+	_ = append(roomy, 2) //@ unused-append-result
+	fresh := &hidden{}
+	if fresh != nil { //@ never-nil-comparison
+		fmt.Println(given, sized)
+	}
+	for i := 0; i < limit; limit++ { //@ modifies-parameter
+		fmt.Println("turn")
+	}
+	j := 0
+	for i := 0; j < 3; i++ { //@ unchanged-loop-condition
+		fmt.Println(i)
+	}
+	for _, v := range list {
+		if v > 3 {
+			fmt.Println(v)
+		}
+		break //@ single-iteration-loop
+	}
+	for _, v := range list {
+		if v > 4 {
+			continue
+		}
+		return roomy
+	}
+	return roomy
+}
+
+func forever(n int) int {
+	fmt.Println(n)
+	return forever(n) //@ infinite-recursion
+}
+
+func bounded(n int) int {
+	if n == 0 {
+		return 0
+	}
+	return bounded(n - 1)
+}
 """,
     "Odd name/bad file.go": """
 // Package Odd_Name is odd.

@@ -20,18 +20,9 @@ SEVERITY = {
 }
 #: Checks that need types, data flow or a constraint solver.
 UNSUPPORTED = {
-    "error": "contradictory-interface-assertion copy-lock-value defer-close-before-error-check discarded-error-result finalizer-captures-object impossible-interface-nil-comparison "
-    "infinite-recursion invalid-listen-address invalid-regexp invalid-template invalid-time-layout invalid-url invalid-utf8 misaligned-atomic-64 nan-comparison never-nil-comparison nil-context "
-    "nil-error-return nil-map-assignment non-pointer-unmarshal odd-paired-arguments sort-non-slice swapped-errors-is-arguments testing-fatal-in-goroutine timer-reset-drain-race "
-    "unchecked-rows-error unclosed-http-response-body unclosed-sql-resource unsupported-binary-write unsupported-marshal-type unused-append-result waitgroup-add-inside-goroutine "
-    "waitgroup-go-forbidden-call writer-buffer-mutation",
-    "warning": "address-nil-comparison append-to-sized-slice argument-overwritten-before-use byte-string-write case-insensitive-string-comparison constructor-interface-return "
-    "context-cancel-in-loop context-key-type context-stored-in-struct deferred-return-function-not-called deprecated-api-usage discarded-pure-result duration-multiplied-by-duration "
-    "dynamic-printf error-type-naming identical-binary-operands impossible-integer-comparison impossible-platform-comparison ineffective-bitwise-zero ineffective-value-receiver-assignment "
-    "inefficient-sprintf interface-method-limit ip-byte-comparison leaky-time-tick nil-value-with-nil-error non-canonical-header non-pointer-sync-pool-value overlapping-encode-buffers "
-    "oversized-fixed-width-shift overwritten-before-use pointless-integer-math range-value-capture redundant-conversion regexp-find-all-zero regexp-match-in-loop self-assignment "
-    "separate-byte-string-map-key single-iteration-loop slog-argument-shape sort-conversion-without-sort time-value-equality unbuffered-signal-channel unchanged-loop-condition "
-    "unexported-serialization-fields unreachable-type-switch-case unsafe-formatted-url-host-port url-query-copy-mutation",
+    "error": "contradictory-interface-assertion impossible-interface-nil-comparison invalid-template invalid-time-layout misaligned-atomic-64 sort-non-slice timer-reset-drain-race "
+    "unsupported-binary-write unsupported-marshal-type",
+    "warning": "constructor-interface-return deprecated-api-usage impossible-platform-comparison ineffective-value-receiver-assignment leaky-time-tick overwritten-before-use range-value-capture separate-byte-string-map-key unreachable-type-switch-case",
     "note": "slice-preallocation",
 }
 

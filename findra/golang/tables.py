@@ -14,16 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import constants
 from .lexer import SourceError, Source
 from .parser import Node, parse
 
 #: Spellings of more tokens than this are replaced by a digest; they are only compared.
 SPELLED_TOKENS = 80
 
-CHILD = "struct<role: string, kind: string, name: string, spelling: string, id: int, start: int, stop: int>"
+#: ``bare`` and ``bare_kind``: spelling and kind inside all parentheses; ``value``: of a literal; ``constant``: with named constants; ``target``: see ``constants.target``.
+CHILD = "struct<role: string, kind: string, name: string, spelling: string, bare_kind: string, bare: string, value: string, constant: string, target: string, id: int, start: int, stop: int>"
 NODES = (
     "path string, id int, parent int, ordinal int, role string, kind string, name string, spelling string, start int, stop int, line int, col int, end_line int, end_col int, "
-    f"func int, ancestors array<struct<id: int, kind: string, role: string>>, children array<{CHILD}>"
+    f"target string, func int, ancestors array<struct<id: int, kind: string, role: string>>, children array<{CHILD}>"
 )
 COMMENTS = "path string, idx int, text string, start int, stop int, line int, col int, end_line int, blank_before boolean, next_code int, gap_lines int"
 _FUNCTIONS = ("FunctionDecl", "MethodDecl", "FunctionLit")
@@ -48,12 +50,21 @@ def node_rows(path: str, source: Source, root: Node) -> list[tuple]:
         below = [*above, {"id": me, "kind": n.kind, "role": n.role}]
         stack.extend((c, me, k, inner, below) for k, c in reversed([*enumerate(n.children)]))
     spelled = {id(n): _spelling(source, n) for n, *_ in order}
+    named, packages = constants.named_constants(root), constants.imported(root)
+
+    def child(c: Node) -> dict:
+        inner = constants.bare(c)
+        return {
+            "role": c.role, "kind": c.kind, "name": c.name, "spelling": spelled[id(c)], "bare_kind": inner.kind, "bare": spelled[id(inner)], "value": constants.literal(c),
+            "constant": constants.constant(c, named), "target": constants.target(c, packages), "id": ids[id(c)], "start": c.start, "stop": c.end,
+        }
+
     rows = []
     for me, (n, parent, ordinal, func, above) in enumerate(order):
         line, col = source.position(n.start)
         end_line, end_col = source.position(n.end)
-        kids = [{"role": c.role, "kind": c.kind, "name": c.name, "spelling": spelled[id(c)], "id": ids[id(c)], "start": c.start, "stop": c.end} for c in n.children]
-        rows.append((path, me, parent, ordinal, n.role, n.kind, n.name, spelled[id(n)], n.start, n.end, line, col, end_line, end_col, func, above, kids))
+        named_by = constants.target(n, packages) if n.kind in ("Call", "Selector") else ""
+        rows.append((path, me, parent, ordinal, n.role, n.kind, n.name, spelled[id(n)], n.start, n.end, line, col, end_line, end_col, named_by, func, above, [child(c) for c in n.children]))
     return rows
 
 
@@ -62,7 +73,7 @@ def nodes(files: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` off is left out (see ``failures``)."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in "path id parent ordinal role kind name spelling start stop line col end_line end_col func ancestors children".split()]
+        names = [c.strip().split(" ")[0] for c in "path id parent ordinal role kind name spelling start stop line col end_line end_col target func ancestors children".split()]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
