@@ -6,8 +6,9 @@ it unions the selected ones, adds severity and position, and gives the findings
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,8 +68,87 @@ def kid(role: str) -> str:
     return f"get(filter(children, c -> c.role = '{role}'), 0)"
 
 
-def report(rows: DataFrame, message: str | Column, start: str = "start", stop: str = "stop") -> DataFrame:
-    return rows.select("path", E(start).alias("start"), E(stop).alias("stop"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+@dataclass(frozen=True)
+class Rows:
+    """Rows of the node table that conditions on a row alone select, kept as expressions so that many checks share one scan.
+
+    Whatever needs other rows makes a DataFrame of them.
+    """
+
+    table: DataFrame
+    conditions: tuple[Column, ...] = ()
+    columns: tuple[tuple[str, Column], ...] = ()
+
+    def where(self, condition: str | Column) -> Rows | DataFrame:
+        if "judge(" in str(condition):  # a Python function sees no more rows than it must
+            return self.frame.where(condition)
+        return replace(self, conditions=(*self.conditions, E(condition) if isinstance(condition, str) else condition))
+
+    def withColumn(self, name: str, column: Column) -> Rows | DataFrame:  # noqa: N802
+        if re.search("explode|OVER|window", str(column), re.I):
+            return self.frame.withColumn(name, column)
+        return replace(self, columns=(*self.columns, (name, column)))
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        out = self.table
+        for name, column in self.columns:
+            out = out.withColumn(name, column)
+        return out.where(self.condition)
+
+    @property
+    def condition(self) -> Column:
+        return reduce(Column.__and__, self.conditions, F.lit(True))
+
+    def __getattr__(self, name: str):
+        return getattr(self.frame, name)
+
+
+@dataclass(frozen=True)
+class Report:
+    """Findings of such rows."""
+
+    rows: Rows
+    message: Column
+    start: str
+    stop: str
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.rows.frame.select("path", E(self.start).alias("start"), E(self.stop).alias("stop"), self.message.alias("message"))
+
+    def __getattr__(self, name: str):
+        return getattr(self.frame, name)
+
+
+def report(rows: Rows | DataFrame, message: str | Column, start: str = "start", stop: str = "stop") -> Report | DataFrame:
+    text = F.lit(message) if isinstance(message, str) else message
+    if isinstance(rows, Rows):
+        return Report(rows, text, start, stop)
+    return rows.select("path", E(start).alias("start"), E(stop).alias("stop"), text.alias("message"))
+
+
+#: Checks that one projection evaluates at most.
+FOLDED = 30
+
+
+def folded(found: dict[str, Report | DataFrame]) -> list[DataFrame]:
+    """Findings with ``code``: reports over the same columns are evaluated together, one scan for up to ``FOLDED`` checks."""
+    out, shared = [], {}
+    for code, rows in found.items():
+        if isinstance(rows, Report):
+            shared.setdefault(tuple((n, str(c)) for n, c in rows.rows.columns), []).append((code, rows))
+        else:
+            out.append(rows.select("path", F.lit(code).alias("code"), "start", "stop", "message"))
+    for same in shared.values():
+        table = same[0][1].rows.table
+        for name, column in same[0][1].rows.columns:
+            table = table.withColumn(name, column)
+        for lo in range(0, len(same), FOLDED):
+            hits = [F.when(r.rows.condition, F.struct(F.lit(c).alias("code"), E(r.start).cast("int").alias("start"), E(r.stop).cast("int").alias("stop"), r.message.alias("message"))) for c, r in same[lo : lo + FOLDED]]
+            hit = F.filter(F.array(*hits), lambda h: h.isNotNull())
+            out.append(table.select("path", F.explode(hit).alias("h")).select("path", "h.*"))
+    return out
 
 
 @dataclass
@@ -78,38 +158,56 @@ class Tables:
     files: DataFrame
     options: dict = field(default_factory=lambda: dict(OPTIONS))
     share: bool = False
+    made: dict = field(default_factory=dict)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several checks start from, made for the first of them."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return tables.nodes(self.files).persist() if self.share else tables.nodes(self.files)
+        return self._by_file(tables.nodes(self.files))
 
     @cached_property
     def comments(self) -> DataFrame:
-        return tables.comments(self.files).persist() if self.share else tables.comments(self.files)
+        return self._by_file(tables.comments(self.files))
+
+    def _by_file(self, rows: DataFrame) -> DataFrame:
+        """Shared rows are dealt by file once; joins and groups within a file then need no exchange."""
+        if not self.share:
+            return rows
+        rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return rows.repartition("path").persist()
 
     @cached_property
     def text(self) -> DataFrame:
         return self.files.select("path", F.decode("content", "UTF-8").alias("text"), F.length("content").alias("size"))
 
-    def of(self, *kinds: str) -> DataFrame:
-        return self.nodes.where(F.col("kind").isin(*kinds))
+    @cached_property
+    def rows(self) -> Rows:
+        return Rows(self.nodes)
+
+    def of(self, *kinds: str) -> Rows:
+        return self.rows.where(F.col("kind").isin(*kinds))
 
-    @property
+    @cached_property
     def functions(self) -> DataFrame:
         return self.of("FunctionDecl", "MethodDecl").withColumn("name_start", E(f"{kid('name')}.start")).withColumn("name_stop", E(f"{kid('name')}.stop"))
 
-    @property
+    @cached_property
     def calls(self) -> DataFrame:
         """Calls with ``callee`` (no spaces) and ``args``."""
         return self.of("Call").withColumn("callee", E(f"replace({kid('fun')}.spelling, ' ', '')")).withColumn("args", E(kids("arg")))
 
-    @property
+    @cached_property
     def params(self) -> DataFrame:
         """Parameters, results and receivers of declared functions: a row for each, with its ``names`` and ``type``."""
         rows = self.of("Param").where("try_element_at(ancestors, -1).kind IN ('FunctionDecl', 'MethodDecl')")
         return rows.withColumn("names", E(kids("name"))).withColumn("type", E(f"replace({kid('type')}.spelling, ' ', '')"))
 
-    @property
+    @cached_property
     def names(self) -> DataFrame:
         """Declared names: a row for each identifier that a declaration introduces, with ``owner`` kind."""
         rows = self.of("Ident").where("role = 'name' OR (role = 'left' AND try_element_at(ancestors, -1).kind = 'AssignStmt')")
@@ -118,15 +216,15 @@ class Tables:
         plain = rows.where("role = 'name' AND owner NOT IN ('PackageClause', 'ImportSpec')")
         return plain.unionByName(rows.where("role = 'left'").join(define, ["path", "parent"], "left_semi"))
 
-    @property
+    @cached_property
     def imports(self) -> DataFrame:
         return self.of("ImportSpec").withColumn("target", E("substring(name, 2, length(name) - 2)")).withColumn("alias", E(f"{kid('alias')}.name")).withColumn("base", E("substring_index(target, '/', -1)"))
 
-    @property
+    @cached_property
     def ifs(self) -> DataFrame:
         return self.of("IfStmt").withColumn("cond", E(kid("cond"))).withColumn("then", E(kid("then"))).withColumn("other", E(kid("else")))
 
-    @property
+    @cached_property
     def blocks(self) -> DataFrame:
         """Statement lists: blocks and clauses, with ``stmts``."""
         return self.of("Block", "CaseClause", "CommClause").withColumn("stmts", E(kids("stmt")))
@@ -136,7 +234,7 @@ class Tables:
         ends = _ENDS.format("try_element_at(stmts, -1)")
         return self.of("Block").withColumn("stmts", E(kids("stmt"))).select("path", F.col("id").alias(f"{name}_id"), F.col("stmts").alias(f"{name}_stmts"), E(f"size(stmts) > 0 AND {ends}").alias(f"{name}_ends"))
 
-    @property
+    @cached_property
     def branches(self) -> DataFrame:
         """Conditionals with both blocks' statements."""
         both = self.ifs.where("other.kind = 'Block'").withColumn("a_id", E("then.id")).withColumn("b_id", E("other.id"))
@@ -563,7 +661,7 @@ def _(t):
 
 @check("max-control-nesting")
 def _(t):
-    return report(t.nodes.where(f"kind IN {_CONTROL} AND size(filter(ancestors, a -> a.kind IN {_CONTROL})) >= 5"), "control flow is nested too deeply")
+    return report(t.rows.where(f"kind IN {_CONTROL} AND size(filter(ancestors, a -> a.kind IN {_CONTROL})) >= 5"), "control flow is nested too deeply")
 
 
 @check("spinning-select-default")
@@ -831,18 +929,17 @@ def run(files: DataFrame, codes: list[str] | None = None, options: dict | None =
     if unknown := [c for c in chosen if c not in known]:
         raise ValueError("unsupported checks: " + ", ".join(unknown))
     t = Tables(files, OPTIONS | (options or {}), share=len(chosen) > 1)
-    found = [known[c](t).withColumns({"code": F.lit(c), "severity": F.lit(severity_of(c))}) for c in chosen]
-    rows = reduce(DataFrame.unionByName, found)
-    # ISO-8859-1 makes one character of each byte, so lengths are byte counts.
-    placed = rows.join(files.select("path", F.decode("content", "ISO-8859-1").alias("raw")), "path")
-
-    def position(at: str) -> Column:
-        before = F.substring("raw", F.lit(1), F.col(at))
-        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-        column = F.length(F.substring_index(before, "\n", -1)) + 1
-        return F.struct(F.col("path").alias("Filename"), F.col(at).alias("Offset"), line.alias("Line"), column.alias("Column"))
-
-    return placed.select("code", "message", "severity", F.col("path").alias("file"), position("start").alias("start"), position("stop").alias("end"))
+    rows = reduce(DataFrame.unionByName, folded({c: known[c](t) for c in chosen}))
+    severity = F.create_map(*[F.lit(x) for c in chosen for x in (c, severity_of(c))])
+    # A file's findings are gathered first, so its line starts are joined to them once.
+    gathered = rows.groupBy("path").agg(F.collect_list(F.struct("code", "message", "start", "stop")).alias("found"))
+
+    def position(at: Column) -> Column:
+        line = tables.line_of(at)
+        return F.struct(F.col("path").alias("Filename"), at.alias("Offset"), line.alias("Line"), (at - F.get("line_starts", line - 1) + 1).alias("Column"))
+
+    each = gathered.join(tables.lines(files), "path").select("path", "line_starts", F.explode("found").alias("x"))
+    return each.select("x.code", "x.message", severity[F.col("x.code")].alias("severity"), F.col("path").alias("file"), position(F.col("x.start")).alias("start"), position(F.col("x.stop")).alias("end"))
 
 
 def directives(files: DataFrame, marker: str = "findra") -> DataFrame:

@@ -44,6 +44,10 @@ def folder(path: str = "path") -> Column:
 
 
 def variables(t: Tables) -> DataFrame:
+    return t.once("variables", lambda: _variables(t))
+
+
+def _variables(t: Tables) -> DataFrame:
     """``path, fn, name, vtype, init, start``: parameters and local variables, types spelt without spaces, null where not told."""
     nothing = F.lit(None).cast(t.nodes.schema["children"].dataType.elementType)
     params = t.params.where("role IN ('param', 'receiver')").select("path", F.col("parent").alias("fn"), F.explode("names.name").alias("name"), F.col("type").alias("vtype"), nothing.alias("init"), "start")
@@ -61,8 +65,12 @@ def variables(t: Tables) -> DataFrame:
 
 def of_type(t: Tables, types: str) -> DataFrame:
     """``path, fn, name`` of variables all whose declarations in the function have one of the types (a list in SQL)."""
-    per = variables(t).groupBy("path", "fn", "name").agg(F.min(E(f"coalesce(vtype IN ({types}), false)")).alias("all"))
-    return per.where("all").drop("all")
+
+    def make() -> DataFrame:
+        per = variables(t).groupBy("path", "fn", "name").agg(F.min(E(f"coalesce(vtype IN ({types}), false)")).alias("all"))
+        return per.where("all").drop("all")
+
+    return t.once(f"of type {types}", make)
 
 
 def in_fn(rows: DataFrame) -> DataFrame:
@@ -70,6 +78,10 @@ def in_fn(rows: DataFrame) -> DataFrame:
 
 
 def writes(t: Tables) -> DataFrame:
+    return t.once("writes", lambda: _writes(t))
+
+
+def _writes(t: Tables) -> DataFrame:
     """``path, fn, name, id, parent, start, stop, op`` of plain names on the left of assignments, ``++`` and ``--``."""
     rows = in_fn(t.of("Ident").where("role = 'left' AND try_element_at(ancestors, -1).kind IN ('AssignStmt', 'IncDecStmt')"))
     how = t.of("AssignStmt", "IncDecStmt").select("path", F.col("id").alias("parent"), F.col("name").alias("op"), E(kids("right")).alias("right"))
@@ -77,6 +89,10 @@ def writes(t: Tables) -> DataFrame:
 
 
 def results(t: Tables) -> DataFrame:
+    return t.once("results", lambda: _results(t))
+
+
+def _results(t: Tables) -> DataFrame:
     """``path, fn, types``: result types of declared functions in order."""
     rows = t.params.where("role = 'result'").select("path", F.col("parent").alias("fn"), "start", E("transform(sequence(1, greatest(1, size(names))), k -> type)").alias("types"))
     ordered = rows.groupBy("path", "fn").agg(F.array_sort(F.collect_list(F.struct("start", "types"))).alias("r"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants
@@ -87,6 +88,29 @@ def nodes(files: DataFrame, strict: bool = True) -> DataFrame:
     return files.select("path", "content").mapInPandas(parsed, NODES)
 
 
+def lines(files: DataFrame) -> DataFrame:
+    """``path, line_starts``: the byte offset at which each line begins."""
+
+    @F.pandas_udf("array<int>")
+    def starts(contents: pd.Series) -> pd.Series:
+        return pd.Series([np.append(0, np.flatnonzero(np.frombuffer(bytes(c or b""), np.uint8) == 10) + 1).astype(np.int32) for c in contents], dtype=object)
+
+    return files.select("path", starts("content").alias("line_starts"))
+
+
+def line_of(at: Column, starts: str = "line_starts") -> Column:
+    """The line, from 1, of a byte offset, by binary search in the starts."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"] + 1, 1)
+        right = F.get(starts, mid) <= at
+        return F.struct(F.when(right, mid).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.greatest(s["lo"], mid - 1)).alias("hi"))
+
+    span = F.struct(F.lit(0).alias("lo"), (F.size(starts) - 1).alias("hi"))
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(starts).cast("bigint"))))
+    return F.aggregate(steps, span, halve, lambda s: s["lo"] + 1)
+
+
 def failures(files: DataFrame) -> DataFrame:
     """``path, error`` of files that cannot be parsed."""
 

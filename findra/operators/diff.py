@@ -9,51 +9,59 @@ from pyspark.sql import functions as F
 CONTEXT = 3
 
 
+def _meeting(x: list[str], y: list[str], x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int]:
+    """A run of equal lines, from ``(a, b)`` to ``(c, d)``, in the middle of a shortest path through the rectangle.
+
+    Paths grow from both corners at once, by one change a step, until they meet; only their furthest ends are held.
+    """
+    n, m = x1 - x0, y1 - y0
+    odd, shift = (n - m) & 1, n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            i = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            j = i - k
+            a, b = i, j
+            while i < n and j < m and x[x0 + i] == y[y0 + j]:
+                i, j = i + 1, j + 1
+            ahead[k] = i
+            if odd and abs(shift - k) < d and i + back.get(shift - k, -1) >= n:
+                return x0 + a, y0 + b, x0 + i, y0 + j
+        for k in range(-d, d + 1, 2):
+            i = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            j = i - k
+            a, b = i, j
+            while i < n and j < m and x[x1 - 1 - i] == y[y1 - 1 - j]:
+                i, j = i + 1, j + 1
+            back[k] = i
+            if not odd and abs(shift - k) <= d and i + ahead.get(shift - k, -1) >= n:
+                return x1 - i, y1 - j, x1 - a, y1 - b
+    raise AssertionError("paths meet")
+
+
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """A shortest script of (mark, line) from ``a`` to ``b``; marks are space, minus and plus.
 
-    Equal ends are cut off first; the middle is searched along diagonals by number of changes.
+    Rectangles are halved where paths from both their corners meet, so memory is linear in the lines.
     """
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    middle: list[tuple[str, str]] = []
-    if not x or not y:
-        middle = [("-", s) for s in x] + [("+", s) for s in y]
-    else:
-        reach, trail = {1: 0}, []
-        for d in range(len(x) + len(y) + 1):
-            trail.append(dict(reach))
-            done = False
-            for k in range(-d, d + 1, 2):
-                i = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-                j = i - k
-                while i < len(x) and j < len(y) and x[i] == y[j]:
-                    i, j = i + 1, j + 1
-                reach[k] = i
-                if i >= len(x) and j >= len(y):
-                    done = True
-                    break
-            if done:
-                break
-        i, j = len(x), len(y)
-        for d in range(len(trail) - 1, -1, -1):
-            was, k = trail[d], i - j
-            down = k == -d or (k != d and was.get(k - 1, -1) < was.get(k + 1, -1))
-            pi = was[k + 1] if down else was[k - 1]
-            pj = pi - (k + 1 if down else k - 1)
-            while i > pi + (not down) and j > pj + down and i > 0 and j > 0 and x[i - 1] == y[j - 1]:
-                i, j = i - 1, j - 1
-                middle.append((" ", x[i]))
-            if d:
-                middle.append(("+", y[j - 1]) if down else ("-", x[i - 1]))
-                i, j = pi, pj
-        middle.reverse()
-    return [(" ", s) for s in a[:head]] + middle + [(" ", s) for s in a[len(a) - tail :]]
+    out: list[tuple[str, str]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        x0, x1, y0, y1 = todo.pop()
+        while x0 < x1 and y0 < y1 and a[x0] == b[y0]:
+            out.append((" ", a[x0]))
+            x0, y0 = x0 + 1, y0 + 1
+        if x0 == x1 or y0 == y1:
+            out += [("-", s) for s in a[x0:x1]] + [("+", s) for s in b[y0:y1]]
+            continue
+        p, q, r, s = _meeting(a, b, x0, x1, y0, y1)
+        if (p, q) == (x0, y0) and (r, s) == (x1, y1):  # nothing but equal lines
+            out += [(" ", line) for line in a[p:r]]
+            continue
+        todo.append((r, x1, s, y1))
+        todo.append((p, r, q, s))
+        todo.append((x0, p, y0, q))
+    return out
 
 
 def hunks(script: list[tuple[str, str]], context: int = CONTEXT) -> list[tuple[int, int, int, int, list[str]]]:
@@ -88,13 +96,13 @@ def unified(before: str, after: str, path: str = "") -> str:
 
 
 def diffed(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (``before``, ``after``) with numbers of removed and added lines and of hunks."""
+    """``pairs`` (``before``, ``after``) with numbers of removed and added lines and of hunks; a null side has no lines."""
 
     @F.pandas_udf("removed int, added int, hunks int")
     def measured(before: pd.Series, after: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(before, after, strict=True):
-            script = edit_script(a.split("\n"), b.split("\n"))
+            script = edit_script(a.split("\n") if a is not None else [], b.split("\n") if b is not None else [])
             rows.append((sum(m == "-" for m, _ in script), sum(m == "+" for m, _ in script), len(hunks(script))))
         return pd.DataFrame(rows, columns=["removed", "added", "hunks"])
 

@@ -89,6 +89,12 @@ def baseline_prune(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return baseline.withColumn("nth", nth).join(have, list(ISSUE_KEY)).where("nth <= have").select(*ISSUE_KEY)
 
 
+def baseline_states(baseline: DataFrame, selected: list[str], known: list[str]) -> DataFrame:
+    """Baseline rows with ``state``: ``compared`` for selected codes, ``matched`` for other known ones (they are kept as they are), ``stale`` for unknown ones."""
+    state = F.when(F.col("code").isin(selected), "compared").when(F.col("code").isin(known), "matched").otherwise("stale")
+    return baseline.withColumn("state", state)
+
+
 def fixability(fixes: Column) -> Column:
     """``safe`` with an automatic safe fix, else ``unsafe`` with any automatic one, else ``none``."""
     auto = F.filter(fixes, lambda f: f["automatic"])

@@ -188,35 +188,36 @@ def finding_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
 
 
-_ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, date_trunc('month', l_shipdate) AS month FROM lineitem"
-_BASE = f"SELECT l_returnflag, l_linestatus, month FROM ({_ITEMS}) WHERE l_orderkey % 2 = 0"
+_ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_returnflag, l_linestatus, date_trunc('month', l_shipdate) AS month FROM lineitem"
+_BASE = f"SELECT l_returnflag, l_linestatus, month FROM ({_ITEMS}) WHERE l_quantity < 25"
 _KEY = ["l_returnflag", "l_linestatus", "month"]
 _KEYS = ", ".join(_KEY)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.date_trunc("month", "l_shipdate").alias("month"))
-    return rows, rows.where("l_orderkey % 2 = 0").select(*_KEY)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", F.date_trunc("month", "l_shipdate").alias("month"))
+    return rows, rows.where("l_quantity < 25").select(*_KEY)
 
 
 @query(f"SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY l_orderkey, l_linenumber, l_partkey) AS nth FROM ({_ITEMS})) LEFT JOIN (SELECT {_KEYS}, count(*) AS recorded FROM ({_BASE}) GROUP BY ALL) USING ({_KEYS}) WHERE nth > coalesce(recorded, 0)")
 def baseline_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag difference against a recorded half; the earliest rows are cancelled."""
+    """Bag difference of all lines against recorded ones, those of small quantities; the earliest rows are cancelled."""
     rows, base = _items(spark, sf_dir)
     return findings.baseline_apply(rows, base, _KEY, ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query(f"SELECT l_returnflag, l_linestatus, CAST(month AS DATE) AS month, want - coalesce(have, 0) AS stale FROM (SELECT {_KEYS}, count(*) AS want FROM ({_BASE}) GROUP BY ALL) LEFT JOIN (SELECT {_KEYS}, count(*) AS have FROM ({_ITEMS}) WHERE l_linenumber > 5 GROUP BY ALL) USING ({_KEYS}) WHERE want > coalesce(have, 0)")
+@query(f"SELECT l_returnflag, l_linestatus, CAST(month AS DATE) AS month, want - coalesce(have, 0) AS stale FROM (SELECT {_KEYS}, count(*) AS want FROM ({_BASE}) GROUP BY ALL) LEFT JOIN (SELECT {_KEYS}, count(*) AS have FROM ({_ITEMS}) WHERE l_tax > 0.04 GROUP BY ALL) USING ({_KEYS}) WHERE want > coalesce(have, 0)")
 def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded lines, those of small quantities, that the lines of high tax do not match."""
     rows, base = _items(spark, sf_dir)
-    return findings.baseline_stale(rows.where("l_linenumber > 5"), base, _KEY).withColumn("month", F.to_date("month"))
+    return findings.baseline_stale(rows.where("l_tax > 0.04"), base, _KEY).withColumn("month", F.to_date("month"))
 
 
-@query("SELECT code, CASE WHEN code IN ('a', 'b') THEN 'compared' WHEN code IN ('c') THEN 'matched' ELSE 'stale' END AS state FROM (VALUES ('a'), ('b'), ('c'), ('d')) AS t(code)")
+@query("SELECT code, state, count(*) AS recorded FROM (SELECT event_type AS code, CASE WHEN event_type IN ('error', 'click') THEN 'compared' WHEN event_type IN ('view', 'signup') THEN 'matched' ELSE 'stale' END AS state FROM events) GROUP BY ALL")
 def baseline_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded codes: selected ones are compared, known unselected ones stay matched, unknown ones are stale."""
-    rows = spark.sql("SELECT * FROM VALUES ('a'), ('b'), ('c'), ('d') AS t(code)")
-    return rows.select("code", F.when(F.col("code").isin("a", "b"), "compared").when(F.col("code").isin("c"), "matched").otherwise("stale").alias("state"))
+    """Recorded events: selected types are compared, known unselected ones stay matched, unknown ones are stale."""
+    recorded = table(spark, sf_dir, "events").select(F.col("event_type").alias("code"))
+    return findings.baseline_states(recorded, selected=["error", "click"], known=["error", "click", "view", "signup"]).groupBy("code", "state").agg(F.count(F.lit(1)).alias("recorded"))
 
 
 @query(f"SELECT code, findings, CASE r WHEN 0 THEN 'none' WHEN 1 THEN 'note' WHEN 2 THEN 'warning' ELSE 'error' END AS severity, row_number() OVER (ORDER BY findings DESC, code) AS place FROM (SELECT event_type AS code, count(*) AS findings, max({_RANK.format('(' + _SEVERITY + ')')}) AS r FROM events GROUP BY event_type)")
@@ -296,14 +297,14 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents UNION ALL SELECT CAST(-1 AS BIGINT), sha256('gone')) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS h FROM documents UNION ALL SELECT CAST(-2 AS BIGINT), sha256('new')) b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h")
 def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of two generations by content hash; the table and a mutated copy stand for them."""
+    """Differences of two generations by content hash: the table with a row more, and a copy with its German texts changed and another row."""
     from ..streaming.watch import generation_changes
 
     docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 7 <> 0").select("doc_id", "text")
-    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.expr("CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END").alias("text"))
+    old = docs.select("doc_id", "text").unionByName(spark.sql("SELECT -1L AS doc_id, 'gone' AS text"))
+    new = docs.select("doc_id", F.expr("CASE WHEN lang = 'de' THEN text || '!' ELSE text END").alias("text")).unionByName(spark.sql("SELECT -2L AS doc_id, 'new' AS text"))
     return generation_changes(old, new, "doc_id", "text")
 
 
@@ -356,10 +357,12 @@ def case_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).groupBy(F.lower("w").alias("low")).agg(F.array_sort(F.collect_set("w")).alias("spellings")).where(F.size("spellings") > 1)
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'without label' ELSE 'without document' END AS orphan FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'without label' ELSE 'without document' END AS orphan FROM documents d FULL JOIN (SELECT doc_id FROM labels UNION ALL SELECT CAST(-1 AS BIGINT)) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def orphans_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("d_id"))
-    both = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id")), F.col("d_id") == F.col("l_id"), "full_outer")
+    """Documents without a label, and labels without a document (one is added)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d_id"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id")).unionByName(spark.sql("SELECT -1L AS l_id"))
+    both = d.join(labels, F.col("d_id") == F.col("l_id"), "full_outer")
     return both.where("d_id IS NULL OR l_id IS NULL").select(F.coalesce("d_id", "l_id").alias("doc_id"), F.when(F.col("l_id").isNull(), "without label").otherwise("without document").alias("orphan"))
 
 

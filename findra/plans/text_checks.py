@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import severity_name, severity_rank
+
 LINE_LIMIT = 20
 
 
@@ -32,7 +34,7 @@ def text_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the two checks, counted by code with their highest severity."""
     found = file_length_limit(spark, sf_dir).select(F.lit("file-length-limit").alias("code"), F.lit("note").alias("severity"))
     found = found.unionByName(repeated_literal(spark, sf_dir).select(F.lit("repeated-literal").alias("code"), F.lit("warning").alias("severity")))
-    return found.groupBy("code").agg(F.count(F.lit(1)).alias("findings"), F.max("severity").alias("severity")).orderBy(F.desc("findings"), "code")
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("findings"), F.max(severity_rank(F.col("severity"))).alias("rank")).select("code", "findings", severity_name(F.col("rank")).alias("severity")).orderBy(F.desc("findings"), "code")
 
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL"
@@ -47,5 +49,5 @@ QUERIES = {
 ORACLE = {
     "file_length_limit": _LENGTH,
     "repeated_literal": _REPEATED,
-    "text_check_summary": f"SELECT code, count(*) AS findings, max(severity) AS severity FROM (SELECT 'file-length-limit' AS code, 'note' AS severity FROM ({_LENGTH}) UNION ALL SELECT 'repeated-literal', 'warning' FROM ({_REPEATED})) GROUP BY code",
+    "text_check_summary": f"SELECT code, count(*) AS findings, max_by(severity, CASE severity WHEN 'note' THEN 1 WHEN 'warning' THEN 2 WHEN 'error' THEN 3 ELSE 0 END) AS severity FROM (SELECT 'file-length-limit' AS code, 'note' AS severity FROM ({_LENGTH}) UNION ALL SELECT 'repeated-literal', 'warning' FROM ({_REPEATED})) GROUP BY code",
 }
