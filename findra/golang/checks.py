@@ -36,7 +36,7 @@ SEVERITY = {
 }
 #: Default options.
 OPTIONS = {
-    "max-parameters": 8, "max-complexity": 10, "max-cognitive": 7, "max-lines": 75, "max-statements": 50, "max-file-lines": 500, "max-results": 3, "max-public-structs": 5,
+    "max-parameters": 8, "max-complexity": 10, "max-cognitive": 7, "max-lines": 75, "max-statements": 50, "max-file-lines": 500, "max-results": 3, "max-public-structs": 5, "max-methods": 10,
     "blocked-imports": [], "characters": ["Ω", "λ"],
 }
 
@@ -891,6 +891,43 @@ def _(t):
     return report(rows.where(f"NOT ({valid}) OR size(keys) <> size(array_distinct(keys))"), "struct tag is malformed", "tag.start", "tag.stop")
 
 
+#: Options of checks by code and name, and the key and kind under which they are kept.
+_BOUND = {
+    ("max-parameters", "max-parameters"): "max-parameters",
+    ("function-length", "max-lines"): "max-lines",
+    ("function-length", "max-statements"): "max-statements",
+    ("function-result-limit", "max-results"): "max-results",
+    ("file-length-limit", "max-lines"): "max-file-lines",
+    ("max-public-structs", "max-public-structs"): "max-public-structs",
+    ("interface-method-limit", "max-methods"): "max-methods",
+    ("imports-blocklist", "blocked-imports"): "blocked-imports",
+    ("banned-characters", "characters"): "characters",
+}
+
+
+def option_defaults() -> dict[tuple[str, str], object]:
+    return {k: OPTIONS[key] for k, key in _BOUND.items()}
+
+
+def bound_options(config: dict) -> dict:
+    """Options of the configured checks, checked by name and kind: whole numbers from 0, or lists of texts."""
+    out = {}
+    for code, setting in config.get("checks", {}).items():
+        for name, value in setting.get("options", {}).items():
+            key = _BOUND.get((code.lower(), name))
+            if key is None:
+                raise ValueError(f"unknown option of {code}: {name}")
+            if isinstance(OPTIONS[key], list):
+                if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
+                    raise ValueError(f"option {name} of {code} is a list of texts")
+            elif not isinstance(value, int) or isinstance(value, bool):
+                raise ValueError(f"option {name} of {code} is a whole number")
+            elif value < 0:
+                raise ValueError(f"option {name} of {code} is out of range")
+            out[key] = value
+    return out
+
+
 def _semantic() -> tuple:
     """The modules of the approximated checks; all of them add to one table."""
     from . import semantic, semantic_calls, semantic_local
@@ -899,7 +936,14 @@ def _semantic() -> tuple:
 
 
 def _all() -> dict[str, Callable[[Tables], DataFrame]]:
-    return CHECKS | _semantic()[0].CHECKS
+    return CHECKS | _semantic()[0].CHECKS | {"format": _format}
+
+
+def _format(t: Tables) -> DataFrame:
+    from .formatting import rewritten
+
+    rows = rewritten(t.files).select("path", F.lit(0).alias("start"), F.octet_length("content").alias("stop"))
+    return report(rows, "file is not formatted")
 
 
 def supported() -> list[str]:
@@ -909,7 +953,7 @@ def supported() -> list[str]:
 def severities() -> list[tuple[str, dict[str, str], bool]]:
     """Engine, codes by severity, and whether they are supported."""
     modules = _semantic()
-    return [("syntax", SEVERITY, True), *[("semantic", m.SEVERITY, True) for m in modules], ("semantic", modules[0].UNSUPPORTED, False)]
+    return [("format", {"warning": "format"}, True), ("syntax", SEVERITY, True), *[("semantic", m.SEVERITY, True) for m in modules], ("semantic", modules[0].UNSUPPORTED, False)]
 
 
 def severity_of(code: str) -> str:

@@ -150,13 +150,16 @@ def imported(root: Node) -> dict[str, str]:
             base = last[0].rsplit("/", 1)[-1] if len(last) == 2 and re.fullmatch(r"v[0-9]+", last[1]) else last[-1]
             out[alias or base] = path
             continue
-        declared.update(c.name for c in n.children if c.kind == "Ident" and c.role == "name" and n.kind not in ("Field", "MethodSpec", "PackageClause", "MethodDecl"))
+        if n.kind == "AssignStmt" and n.name == ":=":
+            declared.update(c.name for c in n.children if c.kind == "Ident" and c.role == "left")
+        elif n.kind not in ("Field", "MethodSpec", "PackageClause", "MethodDecl"):
+            declared.update(c.name for c in n.children if c.kind == "Ident" and c.role == "name")
         stack.extend(n.children)
     return {k: v for k, v in out.items() if k not in declared and k not in ("_", ".")}
 
 
 def target(n: Node, packages: dict[str, str]) -> str:
-    """What a call or selector names: ``import/path.Name`` where its package is imported, else its spelling's names."""
+    """What a call or selector names: ``import/path.Name`` where its package is imported, else its names behind ``~``."""
     n = bare(n)
     if n.kind == "Call" and n.children:
         return "" if bare(n.children[0]).kind == "Call" else target(n.children[0], packages)
@@ -165,7 +168,7 @@ def target(n: Node, packages: dict[str, str]) -> str:
     if n.kind == "Selector" and len(n.children) == 2:
         x = bare(n.children[0])
         if x.kind == "Ident":
-            return f"{packages.get(x.name, x.name)}.{n.name}"
+            return f"{packages.get(x.name, '~' + x.name)}.{n.name}"
         inner = target(x, packages) if x.kind == "Selector" else ""
         return f"{inner}.{n.name}"
     return ""

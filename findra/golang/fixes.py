@@ -39,6 +39,16 @@ def planned(files: DataFrame) -> DataFrame:
 
 def fixed(files: DataFrame) -> DataFrame:
     """``path, content`` of the files that fixes change; a file's conflicting edits are left out, and the result must parse."""
+    return _spliced(files).where("parses").select("path", "content")
+
+
+def refused(files: DataFrame) -> DataFrame:
+    """``path`` of files that stay as they are because the fixed text would not parse."""
+    return _spliced(files).where("NOT parses").select("path")
+
+
+def _spliced(files: DataFrame) -> DataFrame:
+    """``path, content, parses`` of the files with their edits."""
     chosen = edits.without_conflicts(planned(files))
     per_file = chosen.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"), "new_text")).alias("made"))
     raw = F.decode("content", "ISO-8859-1")
@@ -55,7 +65,7 @@ def fixed(files: DataFrame) -> DataFrame:
         return pd.Series([ok(c) for c in contents])
 
     spliced = files.join(per_file, "path").select("path", F.encode(edits.applied(raw, F.col("made")), "ISO-8859-1").alias("content"))
-    return spliced.where(parses("content"))
+    return spliced.withColumn("parses", parses("content"))
 
 
 def format_drift(files: DataFrame) -> DataFrame:

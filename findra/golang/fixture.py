@@ -742,6 +742,7 @@ package Odd_Name //@ package-naming
 }
 #: Findings of whole files and those that marks cannot hold: file, line, code.
 MORE = [
+    ("shapes/naming.go", 1, "format"), ("shapes/control.go", 1, "format"),
     ("Odd name/bad file.go", 1, "filename-format"), ("Odd name/bad file.go", 2, "package-directory-mismatch"), ("shapes/control.go", 1, "doc-comment-period"), ("other/files.go", 4, "doc-comment-period"),
     ("other/files.go", 16, "doc-comment-period"), ("shapes/control.go", 30, "empty-conditional-block"), ("shapes/hidden.go", 3, "bidirectional-control-character"),
 ]

@@ -38,9 +38,6 @@ WIDTHS = {"int8": 8, "uint8": 8, "byte": 8, "int16": 16, "uint16": 16, "int32":
 CONTEXT_FIRST = "context.WithCancel context.WithTimeout context.WithDeadline context.WithValue os/exec.CommandContext net/http.NewRequestWithContext"
 TIME_UNITS = "Nanosecond Microsecond Millisecond Second Minute Hour"
 
-MAX_METHODS = 10
-
-
 def _in(names: str | list[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in (names.split() if isinstance(names, str) else names)) + ")"
 
@@ -183,7 +180,7 @@ def _(t):
 
 @check("interface-method-limit")
 def _(t):
-    rows = t.of("InterfaceType").where(f"size({kids('method')}) > {t.options.get('max-methods', MAX_METHODS)}")
+    rows = t.of("InterfaceType").where(f"size({kids('method')}) > {t.options['max-methods']}")
     return report(rows, "interface has too many methods")
 
 

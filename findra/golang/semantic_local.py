@@ -317,12 +317,12 @@ def _unreleased(t, targets: str, method: str, release: str, message: str) -> Dat
 
 @check("unclosed-http-response-body")
 def _(t):
-    return _unreleased(t, "'net/http.Get', 'net/http.Post', 'net/http.PostForm', 'net/http.Head'", "^[A-Za-z_.]*[cC]lient[.](Do|Get|Post|PostForm|Head)$", "Body [.] Close", "the response's body is not closed")
+    return _unreleased(t, "'net/http.Get', 'net/http.Post', 'net/http.PostForm', 'net/http.Head'", "^~[A-Za-z_.]*[cC]lient[.](Do|Get|Post|PostForm|Head)$", "Body [.] Close", "the response's body is not closed")
 
 
 @check("unclosed-sql-resource")
 def _(t):
-    return _unreleased(t, "''", "^(db|tx|conn|stmt)[.](Query|QueryContext|Prepare|PrepareContext)$", "Close", "the database's resource is not closed")
+    return _unreleased(t, "''", "^~(db|tx|conn|stmt)[.](Query|QueryContext|Prepare|PrepareContext)$", "Close", "the database's resource is not closed")
 
 
 @check("unchecked-rows-error")

@@ -58,7 +58,7 @@ QUERIES |= {"go_catalogue": go_catalogue, "go_findings": go_findings}
 #: How many checks there are.
 ORACLE["go_catalogue"] = """
 SELECT engine, severity, supported, CAST(n AS BIGINT) AS n FROM (VALUES
-  ('syntax', 'error', true, 20), ('syntax', 'warning', true, 62), ('syntax', 'note', true, 15),
+  ('format', 'warning', true, 1), ('syntax', 'error', true, 20), ('syntax', 'warning', true, 62), ('syntax', 'note', true, 15),
   ('semantic', 'error', true, 29), ('semantic', 'warning', true, 55),
   ('semantic', 'error', false, 9), ('semantic', 'warning', false, 9), ('semantic', 'note', false, 1)
 ) AS t(engine, severity, supported, n)
