@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline
@@ -35,6 +36,36 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left)
 
 
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = docs_of(spark, [])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows_and_names(spark, tmp_path):
+    """Nulls in every column, repeated rows, a long text, and columns named as operators name theirs."""
+    names = ["judged_lang", "hit_id", "mixer_u", "row", "linked"]
+    rows = [(i, prose(lang, i, 60), lang, f"s{i % 2}") for i, lang in enumerate(("en", "fr", "de", "es") * 10)]
+    rows += [(None, prose("en", 90), None, None), (50, None, None, None), (51, "", "en", "s1"), (52, prose("de", 52, 20_000), "de", "s0"), (1, prose("fr", 1, 60), "fr", "s1")]
+    docs = docs_of(spark, rows).drop("items", "row", "tokens")
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    spark.createDataFrame([(None, None), (1, ""), (2, "no such words here at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns, name
+        assert now.where(" AND ".join(f"{n} = 'own'" for n in names)).count() == now.count(), name
+        if name == "n-gram Jaccard join":
+            assert now.where("doc_id = 1").count() == 1 and now.where("doc_id IS NULL").count() == 1
+    ids = [r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()]
+    assert len(ids) == now.count() and not {50, 51} & set(ids)
+
+
 def test_every_operator_has_its_query():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
