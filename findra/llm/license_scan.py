@@ -133,13 +133,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     hits = each.join(F.broadcast(known), "sentence", "left").where(F.col("ident").isNotNull() | (F.col("cut") < 0))
     per = hits.groupBy("row", doc_id).agg(F.array_sort(F.collect_list(F.when(F.col("ident").isNotNull(), F.struct("cut", "at", "ident")))).alias("seq"))
 
+    def of(cut: int) -> Column:
+        # One parameter: Spark hands an element's position to a second one, even one with a default.
+        return F.filter("seq", lambda s: s["cut"] == cut)
+
     def sequence(cut: int) -> Column:
-        return F.array_join(F.transform(F.filter("seq", lambda s: s["cut"] == cut), lambda s: F.concat(F.lit("|"), s["ident"], F.lit("|"))), "")
+        return F.array_join(F.transform(of(cut), lambda s: F.concat(F.lit("|"), s["ident"], F.lit("|"))), "")
 
     per = per.withColumns({"a": sequence(0), "b": sequence(1)})
     licences = F.array_sort(F.array_union(_matched(F.col("a")), _matched(F.col("b"))))
-    counts = [F.size(F.filter("seq", lambda s, cut=cut: s["cut"] == cut)) for cut in (0, 1)]
-    return per.select(doc_id, F.greatest(*counts).cast("bigint").alias("n_sentences"), F.concat("a", F.lit("/"), "b").alias("idents"), licences.alias("licences"))
+    return per.select(doc_id, F.greatest(F.size(of(0)), F.size(of(1))).cast("bigint").alias("n_sentences"), F.concat("a", F.lit("/"), "b").alias("idents"), licences.alias("licences"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,18 @@ def test_licences_by_their_verbatim_texts(spark):
     assert all("|apache-ref||apache-obtain||apache-url||apache-warranty|" in got[i]["idents"] for i in (6, 7, 8))
 
 
+def test_known_sentences_are_counted_by_the_cut_that_has_more(spark):
+    notice = "Released under the MIT License."
+    rows = [f"A tale.\n{notice}", f"{notice} A tale. All rights reserved.", "\n".join([notice] * 3), "Some words\nAll rights reserved", "Licensed under the\nMIT License", "none", None]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
+    got = {r["doc_id"]: r["n_sentences"] for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [1, 2, 3, 1, 1, 0, 0]
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    assert got == {i: n for i, n, _ in con.execute(license_scan.OP5_SQL).fetchall()}
+
+
 # --- language ID
 
 PIECES = {"en": "the and thing ation here with was", "fr": "eau oui elle mentre tion être dans", "de": "ung keit schaft und der einlich für", "es": "ción ado mente que llos ñar esta"}
