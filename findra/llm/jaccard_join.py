@@ -57,6 +57,8 @@ BUCKET_CHUNKS = 16
 BLOOM_BITS = 1 << 22
 #: Characters of text a task turns into sets at once (a longer text alone).
 BATCH_CHARS = 3_000_000
+#: Words of 64 bits of a sketch: a signature folded to a fixed size, which goes with the entries that are compared within a list.
+SKETCH_WORDS = 8
 #: Size classes, part of a node's number, grow by this factor.
 CLASS_BASE = 1.06
 #: Sorted rows of index lists that a task looks at together, about.
@@ -67,7 +69,7 @@ _HASH_MASK = ((1 << 52) - 1) << 8
 ENTRY = np.dtype([("x", "<i8"), ("n", "<i4"), ("q", "<i4")])
 POSTING_SCHEMA = "key bigint, node bigint, n int, q int, more binary"
 #: kind 0: an entry of a list; 1: a document's facts; 2: ``node`` may link with the leader ``other`` of a list.
-INDEX_SCHEMA = "kind int, key bigint, node bigint, other bigint, row bigint, n int, q int, sig binary"
+INDEX_SCHEMA = "kind int, key bigint, node bigint, other bigint, row bigint, n int, q int, sig binary, sketch array<bigint>"
 PAIR_SCHEMA = "a bigint, b bigint"
 ROW_PAIR_SCHEMA = "a bigint, b bigint, row_a bigint, row_b bigint"
 ANSWER_SCHEMA = "u bigint, v bigint, linked boolean, n int, differ binary"
@@ -91,11 +93,17 @@ def _size_class(n: int) -> int:
 
 
 def signature(h: np.ndarray) -> bytes:
-    """Bits by the low bits of hashes, set where an odd number of the set's fall; at least two bits a shingle."""
-    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    """Bits by the low bits of hashes, set where an odd number of the set's fall; at least two bits a shingle, and a sketch's."""
+    bits = max(64 * SKETCH_WORDS, 1 << (2 * len(h) - 1).bit_length())
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def sketch(sig: bytes) -> list[int]:
+    """A signature folded to ``SKETCH_WORDS`` words: two sets differ in at least as many shingles as sketches in bits."""
+    x = np.frombuffer(sig, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, 8 * SKETCH_WORDS), axis=0).view("<i8").tolist()
+
+
 def least_apart(a: bytes, b: bytes) -> int:
     """Shingles that two sets differ in, at least. The longer signature is folded to the other's length."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -237,7 +245,8 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         facts, rows = pdf[fact], []
         for key, node, n, raw in zip(facts["key"].tolist(), facts["node"].tolist(), facts["n"].tolist(), facts["more"].tolist(), strict=True):
             known, doc_id, row = struct.unpack_from("<?qq", raw)
-            rows.append((1, key, node, doc_id if known else None, row, n, 0, raw[struct.calcsize("<?qq") :]))
+            sig = raw[struct.calcsize("<?qq") :]
+            rows.append((1, key, node, doc_id if known else None, row, n, 0, sig, sketch(sig) if n else None))
         yield frame_of(rows, INDEX_SCHEMA)
         lists = pdf[~fact]
         own = np.empty(len(lists), ENTRY)
@@ -257,25 +266,28 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         several = np.repeat(size > 1, size)
         leads = entries[np.repeat(starts, size)][several]
         keys, entries = keys[several], entries[several]
-        yield pd.DataFrame({"kind": 0, "key": keys, "node": entries["x"], "other": None, "row": None, "n": entries["n"], "q": entries["q"], "sig": None})
+        yield pd.DataFrame({"kind": 0, "key": keys, "node": entries["x"], "other": None, "row": None, "n": entries["n"], "q": entries["q"], "sig": None, "sketch": None})
         ok = may_link(leads["n"], leads["q"], entries["n"], entries["q"]) & (leads["x"] != entries["x"])
         pairs = np.unique(np.stack([leads["x"][ok], entries["x"][ok]], axis=1), axis=0)
-        yield pd.DataFrame({"kind": 2, "key": 0, "node": pairs[:, 1], "other": pairs[:, 0], "row": None, "n": 0, "q": 0, "sig": None})
+        yield pd.DataFrame({"kind": 2, "key": 0, "node": pairs[:, 1], "other": pairs[:, 0], "row": None, "n": 0, "q": 0, "sig": None, "sketch": None})
 
 
-def across(entries: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list's nodes in different components that may link; its leader's are left out."""
+def across(entries: np.ndarray, comp: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list's nodes in different components that may link by sizes, positions and sketches; its leader's are left out."""
     n, q = entries["n"].astype(np.int64), entries["q"].astype(np.int64)
     # The least size a partner can have is 3/4 of one's own; who stands too far back for that has none.
     fit = (7 * q >= 3 * (n + np.maximum(n.min(), -(-3 * n // 4)))) & (entries["x"] != entries["x"].min())
     order = np.flatnonzero(fit)[np.argsort(n[fit], kind="stable")]
-    x, n, q, comp = entries["x"][order], n[order], q[order], comp[order]
+    # Unsigned: of a negative number, the bits of the absolute value would be counted.
+    x, n, q, comp, sketches = entries["x"][order], n[order], q[order], comp[order], sketches[order].view(np.uint64)
     # A partner at least as large has at most 4/3 of one's size, and no more than one's own position allows.
     stop = np.searchsorted(n, np.minimum(4 * n // 3, (7 * q - 3 * n) // 3), side="right")
     room = 7 * q - 3 * n
     for i in np.flatnonzero(stop > np.arange(len(x)) + 1):
         block = slice(i + 1, stop[i])
-        y = x[block][(room[block] >= 3 * n[i]) & (comp[block] != comp[i])]
+        at = i + 1 + np.flatnonzero((room[block] >= 3 * n[i]) & (comp[block] != comp[i]))
+        apart = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        y = x[at[7 * apart <= n[at] + n[i]]]
         if len(y):
             yield np.minimum(y, x[i]), np.maximum(y, x[i])
 
@@ -290,10 +302,10 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a, b, size = [], [], 0
     for pdf in batches:
         for packed in pdf["entries"]:
-            rows = np.asarray(packed, np.int64).reshape(-1, 4)
+            rows = np.asarray(packed, np.int64).reshape(-1, 4 + SKETCH_WORDS)
             entries = np.empty(len(rows), ENTRY)
             entries["x"], entries["n"], entries["q"] = rows[:, 0], rows[:, 2], rows[:, 3]
-            for u, v in across(entries, rows[:, 1]):
+            for u, v in across(entries, rows[:, 1], rows[:, 4:]):
                 a.append(u)
                 b.append(v)
                 size += len(u)
@@ -414,7 +426,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     postings = whole.mapInPandas(frugal(lambda batches: _postings(batches, rank.value)), POSTING_SCHEMA)
     index = stored(spark, postings.repartition("key").sortWithinPartitions("key").mapInPandas(frugal(_lists), INDEX_SCHEMA), "lists")
     facts, entries = index.where("kind = 1").withColumnRenamed("other", "doc_id"), index.where("kind = 0")
-    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = facts.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     nodes = stored(spark, nodes.select("*", F.col("first.row").alias("row")), "nodes")
     lone = bool(nodes.where("first.lone").limit(1).count())
 
@@ -426,10 +438,13 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     links_found = answers.where("linked").select("u", "v")
     labels = labelled(links_found)
 
-    # Lists of several components; each task's entries of a list go on as one row.
+    # Lists of several components; each task's entries of a list go on as one row, with their sketches.
     members = entries.select("key", "node", "n", "q").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    packed = F.collect_list(F.array("node", "comp", F.col("n").cast("bigint"), F.col("q").cast("bigint")))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.flatten(packed).alias("entries")).where("lo <> hi")
+    members = stored(spark, members, "members")
+    several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(several, "key").join(nodes.select("node", "sketch"), "node")
+    packed = F.collect_list(F.concat(F.array("node", "comp", F.col("n").cast("bigint"), F.col("q").cast("bigint")), "sketch"))
+    mixed = members.groupBy("key").agg(F.flatten(packed).alias("entries"))
     pairs = _sifted(mixed.select("entries").mapInPandas(frugal(_across), PAIR_SCHEMA).distinct(), nodes, False)
     derived = stored(spark, _derived(pairs, answers), "derived")
     second = derived.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))

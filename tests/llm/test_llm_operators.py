@@ -138,6 +138,20 @@ def test_jaccard_odd_rows(spark, odd, empty):
     assert ids.count(4) == 1 and 2**60 + 1 not in ids and {1, 2, 3, 6, 9} <= set(ids)
 
 
+def test_sketches_keep_every_link_within_a_list_and_few_other_pairs():
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sets = [np.unique(np.concatenate([common[:shared], rng.integers(0, 1 << 63, own, dtype=np.uint64) << np.uint64(1)])) for _ in range(60) for shared, own in ((60, 4), (60, 11), (40, 30), (60, 60))]
+    entries = np.empty(len(sets), jaccard_join.ENTRY)
+    entries["x"], entries["n"], entries["q"] = np.arange(len(sets)), [len(h) for h in sets], [len(h) for h in sets]  # one shared first shingle
+    sketches = np.array([jaccard_join.sketch(jaccard_join.signature(h)) for h in sets], np.int64)
+    assert (sketches < 0).any() and all(np.bitwise_count(np.array(s).view(np.uint64)).sum() <= len(h) for s, h in zip(sketches.tolist(), sets, strict=True))
+    got = {(int(a), int(b)) for u, v in jaccard_join.across(entries, entries["x"], sketches) for a, b in zip(u, v, strict=True)}
+    linked = {(i, j) for j in range(len(sets)) for i in range(1, j) if jaccard_join.links(sets[i], sets[j])}
+    unsifted = {(int(a), int(b)) for u, v in jaccard_join.across(entries, entries["x"], np.zeros_like(sketches)) for a, b in zip(u, v, strict=True)}
+    assert linked and linked <= got and len(got - linked) * 10 < len(unsifted - linked)
+
+
 def test_signatures_and_differences_agree_with_whole_sets():
     rng = np.random.default_rng(7)
     for _ in range(300):
