@@ -21,6 +21,9 @@ from findra.llm.common import stored, table, unused
 
 #: Expected share of the tokens that the mixing stage keeps.
 MIX_BUDGET = 0.5
+#: Token output shares its executors with what earlier stages left in them: less cache and smaller batches than alone.
+TOKEN_CACHE_CHUNKS = 200_000
+TOKEN_BATCH_CHARS = 3_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mixture, read back: ``doc_id, start, n_tokens, ids_crc32``."""
-    out = token_output.token_output(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = token_output.token_output(spark, docs, public_tokenizers.path("word_bpe_49k.json"), cache=TOKEN_CACHE_CHUNKS, batch_chars=TOKEN_BATCH_CHARS)
     return out.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 

@@ -185,14 +185,15 @@ class ChunkEncoder:
         return ids[np.arange(ends[-1]) + np.repeat(begins[of] - ends[:-1], n)], ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """This worker's encoder of a vocabulary file, one at a time: another file or cache takes the place of the last."""
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cache] = ChunkEncoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def _filesystem(uri: str):
@@ -201,10 +202,13 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, out_dir: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, rows_per_file: int = ROWS_PER_FILE, cache: int = CACHE_CHUNKS, batch_chars: int = BATCH_CHARS
+) -> DataFrame:
     """Writes record files of ``docs`` in ascending key order under ``out_dir`` (a URI that all executors share).
 
-    Returns the offset index, itself written there as ``index``.
+    Returns the offset index, itself written there as ``index``. ``cache`` and ``batch_chars`` bound a worker's
+    memory and never change a result.
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
@@ -223,8 +227,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, key: str =
         for batch in batches:
             rows = []
             sizes, keys = pc.utf8_length(batch["text"]).to_pylist(), list(zip(batch["key"].to_pylist(), batch["bucket"].to_pylist(), strict=True))
-            for lo, hi in batches_by_size(sizes, BATCH_CHARS, lambda n: n or 0):
-                all_ids, at = encoder(vocabulary).encode(batch["text"].slice(lo, hi - lo))
+            for lo, hi in batches_by_size(sizes, batch_chars, lambda n: n or 0):
+                all_ids, at = encoder(vocabulary, cache).encode(batch["text"].slice(lo, hi - lo))
                 for i, (k, b) in enumerate(keys[lo:hi]):
                     if out is None or b != bucket:
                         if out is not None:
@@ -270,13 +274,15 @@ def read_token_files(index: DataFrame) -> DataFrame:
     return index.mapInPandas(frugal(read), READ_SCHEMA)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, vocabulary: str, out_dir: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_output(
+    spark: SparkSession, docs: DataFrame, vocabulary: str, out_dir: str | None = None, key: str = "doc_id", text: str = "text", cache: int = CACHE_CHUNKS, batch_chars: int = BATCH_CHARS
+) -> DataFrame:
     """Writes the files, reads them back, and returns ``key, start, n_ids, ids_crc32`` a document.
 
     ``start`` counts the ids of all documents before it, over all files in order.
     """
     out_dir = out_dir or shared_dir(spark, "tokens")
-    index = write_token_files(docs, out_dir, vocabulary, key, text)
+    index = write_token_files(docs, out_dir, vocabulary, key, text, cache=cache, batch_chars=batch_chars)
     # One row a file, of MAX_BUCKETS at most: the window over them and the broadcast are bounded.
     files = index.groupBy("bucket").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -504,6 +504,13 @@ def vocabulary():
     return public.path("word_bpe_49k.json")
 
 
+def test_token_output_with_less_memory_has_the_same_ids(spark, odd, vocabulary):
+    want = sorted(map(tuple, token_output.token_output(spark, odd, vocabulary).collect()), key=repr)
+    assert sorted(map(tuple, token_output.token_output(spark, odd, vocabulary, cache=3, batch_chars=10).collect()), key=repr) == want
+    assert token_output.encoder(vocabulary).limit == token_output.CACHE_CHUNKS
+    assert token_output.encoder(vocabulary, 7).limit == 7 and len(token_output._ENCODERS) == 1  # a worker keeps one
+
+
 def test_token_files_round_trip(spark, odd, empty, vocabulary):
     from tokenizers import Tokenizer
 

@@ -66,6 +66,21 @@ def test_stages_on_odd_rows_and_names(spark, tmp_path):
     assert len(ids) == now.count() and not {50, 51} & set(ids)
 
 
+def test_token_files_take_less_memory_than_alone(spark, monkeypatch):
+    """The stage runs beside what earlier ones left in the executors; its ids are those of the operator alone."""
+    plain, bounds = corpus_pipeline.token_output.token_output, {}
+
+    def recorded(*args, **more):
+        bounds.update(more)
+        return plain(*args, **more)
+
+    monkeypatch.setattr(corpus_pipeline.token_output, "token_output", recorded)
+    docs = docs_of(spark, [(i, prose("en", i, 30), "en", "s") for i in range(20)])
+    got = corpus_pipeline.token_files(spark, docs, "").collect()
+    assert bounds["cache"] < corpus_pipeline.token_output.CACHE_CHUNKS and bounds["batch_chars"] < corpus_pipeline.token_output.BATCH_CHARS
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain(spark, docs, corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")).collect()))
+
+
 def test_every_operator_has_its_query():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
